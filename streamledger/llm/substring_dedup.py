@@ -121,7 +121,7 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS k FROM p),
 f AS (SELECT k, min(doc_id) AS lo FROM g GROUP BY k),
@@ -130,6 +130,6 @@ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM r),
 a AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM c GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(a.n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(array_to_string(CASE WHEN a.n IS NULL THEN ws ELSE
-    list_transform(list_filter(range(1, len(ws) + 1), x -> NOT list_contains(a.js, x)), x -> ws[x]) END, ' '), '')) AS kept_sha256
+    list_transform(list_filter(range(1, len(ws) + 1), lambda x: NOT list_contains(a.js, x)), lambda x: ws[x]) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN a ON w.doc_id = a.doc_id
 """
