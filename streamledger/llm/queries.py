@@ -5,11 +5,13 @@ from __future__ import annotations
 from .jaccard_join import op1_jaccard_join
 from .lm_scoring import OP6_SQL, op6_lm_scoring
 from .substring_dedup import OP2_SQL, op2_substring_dedup
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op6_lm_scoring": op6_lm_scoring,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
