@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .jaccard_join import op1_jaccard_join
 from .lm_scoring import OP6_SQL, op6_lm_scoring
+from .mixing import op5_source_mix
+from .packing import op9_best_fit_packing
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_source_mix": op5_source_mix,
     "op6_lm_scoring": op6_lm_scoring,
     "op8_toxicity": op8_toxicity,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
