@@ -8,6 +8,7 @@ from .jaccard_join import op1_jaccard_join
 from .lm_scoring import OP6_SQL, op6_lm_scoring
 from .mixing import op5_source_mix
 from .packing import op9_best_fit_packing
+from .revisits import OP3_SQL, op3_warc_revisits
 from .sharding import OP4_SQL, op4_extendible_sharding
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op8_toxicity
@@ -15,6 +16,7 @@ from .toxicity import op8_toxicity
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_extendible_sharding": op4_extendible_sharding,
     "op5_source_mix": op5_source_mix,
     "op6_lm_scoring": op6_lm_scoring,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
+    "op3_warc_revisits": OP3_SQL,
     "op4_extendible_sharding": OP4_SQL,
     "op6_lm_scoring": OP6_SQL,
 }
