@@ -5,11 +5,11 @@
    rarest first. Documents that link share one of each other's first ``n - ceil(t n) + 1`` shingles in that order
    (prefix filter); a document with so many shingles of its own links with nothing.
 2. Equal sets collapse to their smallest document.
-3. Similar documents form groups: documents with the same min-hash are held against the smallest of them, and those
+3. Similar documents form groups: documents with the same min-hash are held against the most central of them (the one whose shingles are most frequent), and those
    that link with it carry its label. Three min-hashes are tried in turn on what is left without a label. A label's
    documents, cut into pieces of bounded size, are the groups; each group has the union of its members' shingles.
-4. A document opens a group of another label only if they share a prefix shingle, their sizes allow it, and
-   the shingles it has in the group's union reach what a link needs. Then it is compared with each member.
+4. A document opens a group of another label only if they share a prefix shingle, their sizes and the shingle's
+   place in the order allow it (positional filter), and the shingles it has in the group's union reach what a link needs. Then it is compared with each member.
 5. Links give connected components.
 
 Two documents link when ``100 * |A n B| >= percent * |A u B|``. No cap on partners or candidates.
@@ -30,7 +30,7 @@ from .exchange import exchange, expand
 from .runtime import materialize
 from .words import mix, shingle_sets, text_buffer
 
-_SETS = "doc_id long, n_shingles long, digest binary, k0 long, k1 long, k2 long, prefix int, tokens binary"
+_SETS = "doc_id long, n_shingles long, copy_of long, digest binary, central long, k0 long, k1 long, k2 long, prefix int, tokens binary"
 _SEEDS = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xA54FF53A5F1D36F1)]
 GROUP = 64  # members of a group
 QUERIES = 256  # documents that one task opens a group for
@@ -54,21 +54,35 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         each = sets(table)
         keys, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_inverse=True)
         df = answers[0][inverse] if len(keys) else np.zeros(0, np.int64)
-        rows, at = [], 0
-        for x in each:
+        ids, at = table["doc_id"].to_pylist(), 0
+        first: dict[bytes, int] = {}
+        rows: list[list] = []
+        for i, x in zip(ids, each, strict=True):
             n, f = len(x), df[at : at + len(x)]
             at += n
             shared = f >= 2
             prefix = n - -(-percent * n // 100) + 1 - (n - int(shared.sum()))
-            if n == 0 or prefix <= 0:
-                rows.append((n, None, None, None, None, None, None))
+            rows.append([n, *[None] * 8])
+            if n == 0 or prefix <= 0 or i is None:
                 continue
+            digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
             low = [int(mix(x ^ s).min().view(np.int64)) for s in _SEEDS]
             tokens, f = x[shared], f[shared]
-            tokens = tokens[np.lexsort((tokens, f))]
-            rows.append((n, hashlib.blake2b(x.tobytes(), digest_size=16).digest(), *low, min(prefix, len(tokens)), tokens.tobytes()))
-        n, digest, k0, k1, k2, prefix, tokens = zip(*rows, strict=True)
-        return pa.table({"doc_id": table["doc_id"].combine_chunks(), "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "k0": pa.array(k0, pa.int64()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "prefix": pa.array(prefix, pa.int32()), "tokens": pa.array(tokens, pa.binary())})
+            order = np.lexsort((tokens, f))
+            rows[-1][1:] = [None, digest, int(f.sum()) * 1000 // n, *low, min(prefix, len(tokens)), tokens[order].tobytes()]
+            first[digest] = min(i, first.get(digest, i))
+        seen = set()
+        for i, row in zip(ids, rows, strict=True):
+            if row[2] is not None:
+                row[1] = first[row[2]]
+                if row[1] != i or i in seen:  # a copy within the chunk: its smallest document stands for it
+                    row[2:] = [None] * 7
+                else:
+                    seen.add(i)
+        columns = list(zip(*rows, strict=True))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary()]
+        names = ["n_shingles", "copy_of", "digest", "central", "k0", "k1", "k2", "prefix", "tokens"]
+        return pa.table({"doc_id": table["doc_id"].combine_chunks()} | {c: pa.array(v, t) for c, v, t in zip(names, columns, kinds, strict=True)})
 
     return exchange(docs, ["doc_id", "text"], ["doc_id", "text"], local, combine, finish, _SETS)
 
@@ -95,8 +109,11 @@ def _explode_prefix(batches):
     for t in batches:
         prefix = t.column("prefix").to_numpy().astype(np.int64)
         tokens = [np.frombuffer(x, np.int64, int(p)) for x, p in zip(t.column("tokens").to_pylist(), prefix, strict=True)]
+        shared = np.array([len(x) // 8 for x in t.column("tokens").to_pylist()], np.int64)
+        start = np.cumsum(prefix) - prefix
+        rest = np.repeat(shared + start, prefix) - np.arange(int(prefix.sum()))
         repeat = lambda c: pa.array(np.repeat(t.column(c).to_numpy(), prefix))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), *(repeat(c) for c in ("doc_id", "n_shingles", "label", "size", "piece"))], ["token", "doc_id", "n_shingles", "label", "size", "piece"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), pa.array(rest), *(repeat(c) for c in ("doc_id", "n_shingles", "label", "size", "piece"))], ["token", "rest", "doc_id", "n_shingles", "label", "size", "piece"])
 
 
 def _open_groups(percent: int):
@@ -131,17 +148,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(_sets(docs, words, percent), "sets")
-    near = sets.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    near = sets.where("digest IS NOT NULL")
     head = near.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(near.select("doc_id", "digest").join(head, "digest").select("doc_id", "rep"), "copies")
-    reps = copies.where("doc_id = rep").select("doc_id").distinct()
-    reps = near.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
-    reps = materialize(reps.drop("digest"), "reps")
+    # a digest has a row a chunk at most
+    copies = materialize(near.select("doc_id", "digest").join(head, "digest").select(F.col("doc_id").alias("chunk_rep"), "rep"), "copies")
+    reps = copies.where("chunk_rep = rep").select(F.col("rep").alias("doc_id")).distinct()
+    reps = materialize(near.join(reps, "doc_id", "left_semi").drop("digest", "copy_of"), "reps")
 
     labels = None
     left = reps
     for k in ("k0", "k1", "k2"):
-        heads = left.groupBy(k).agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).where("c > 1")
+        heads = left.groupBy(k).agg(F.max(F.struct("central", -F.col("doc_id"))).alias("top"), F.count("*").alias("c")).where("c > 1").select(k, (-F.col("top.col2")).alias("leader"))
         lead = heads.join(reps.select(F.col("doc_id").alias("leader"), F.col("n_shingles").alias("leader_n"), F.col("tokens").alias("leader_tokens")), "leader")
         pairs = left.join(lead, k).where("doc_id <> leader").select("doc_id", "n_shingles", "tokens", "leader", "leader_n", "leader_tokens")
         found = materialize(pairs.mapInArrow(_with_leader(percent), "doc_id long, leader long"), "leaders")
@@ -154,13 +171,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     known = known.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / GROUP).cast("long")))
     grouped = materialize(reps.drop("k0", "k1", "k2").join(known, "doc_id"), "grouped")
 
-    rows = materialize(grouped.select("doc_id", "n_shingles", "label", "size", "piece", "prefix", "tokens").mapInArrow(_explode_prefix, "token long, doc_id long, n_shingles long, label long, size long, piece long"), "postings")
+    rows = materialize(grouped.select("doc_id", "n_shingles", "label", "size", "piece", "prefix", "tokens").mapInArrow(_explode_prefix, "token long, rest long, doc_id long, n_shingles long, label long, size long, piece long"), "postings")
     rank = F.struct("size", "label")
     shared = rows.groupBy("token").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).where("low < high")
-    queries = rows.join(shared, "token").where(rank < F.col("high")).select("token", "doc_id", "n_shingles", rank.alias("rank"))
-    groups = rows.join(shared, "token").where(rank > F.col("low")).groupBy("token", "label", "size", "piece").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    groups = groups.select("token", "label", "piece", rank.alias("group_rank"), "least", "most")
+    queries = rows.join(shared, "token").where(rank < F.col("high")).select("token", "rest", "doc_id", "n_shingles", rank.alias("rank"))
+    groups = rows.join(shared, "token").where(rank > F.col("low")).groupBy("token", "label", "size", "piece").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.max("rest").alias("group_rest"))
+    groups = groups.select("token", "label", "piece", rank.alias("group_rank"), "least", "most", "group_rest")
+    # at the first shingle a pair shares, what follows in either order has to hold all that a link needs
     fits = f"rank < group_rank AND {percent} * least <= 100 * n_shingles AND {percent} * n_shingles <= 100 * most"
+    fits += f" AND {100 + percent} * least(rest, group_rest) >= {percent} * (n_shingles + least)"
     pairs = materialize(queries.join(groups, "token").where(fits).select("doc_id", "label", "piece").distinct(), "candidates")
 
     salts = pairs.groupBy("label", "piece").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("salts"))
@@ -172,8 +191,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     links = attached.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).union(opened)
     whole = components(links)
 
-    of = copies.join(whole, copies.rep == whole.id, "left").select("doc_id", F.coalesce("component", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
-    return sets.select("doc_id", "n_shingles").join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    of = copies.join(whole, copies.rep == whole.id, "left").select("chunk_rep", F.coalesce("component", "rep").alias("component"))
+    of = of.groupBy("chunk_rep").agg(F.min("component").alias("component"))
+    out = sets.select("doc_id", "n_shingles", "copy_of").join(of, F.col("copy_of") == F.col("chunk_rep"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
