@@ -18,6 +18,7 @@ from ..operators import queue as Q
 from ..operators import read as R
 from ..operators import retention as T
 from ..operators import router as O
+from ..streaming import live as L
 from ..sources.tables import conversation_logs, events_log, orders_queue, table, user_logs
 
 NOW = 1_706_745_600_000
@@ -737,3 +738,27 @@ def diff_page(spark, sf_dir):
     return R.diff_page(live, 0, nodes="u3", tags=True)
 
 
+
+
+# --- streams (rows only: no SQL) ---------------------------------------------------------------------------------
+
+
+@query()
+def stream_watch(spark, sf_dir):
+    return L.watch(L.event_stream(spark, sf_dir), L.work_folder(spark, "watch"), 100, ["u1", "u2"])
+
+
+@query()
+def stream_router(spark, sf_dir):
+    return L.route(L.event_stream(spark, sf_dir), L.work_folder(spark, "router"), "mirror", NOW, match="pur*")
+
+
+@query()
+def stream_queue(spark, sf_dir):
+    return L.pushed(L.event_stream(spark, sf_dir), L.work_folder(spark, "queue"), 8, 4, 3_600_000)
+
+
+@query()
+def stream_dedupe(spark, sf_dir):
+    rows = L.event_stream(spark, sf_dir).withColumn("idem_key", F.concat_ws(":", "node", "tag"))
+    return L.deduplicated(rows, L.work_folder(spark, "dedupe"), 86_400_000)
