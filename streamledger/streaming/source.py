@@ -32,8 +32,6 @@ class LedgerReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.cursors = {k: int(v) for k, v in json.loads(options.get("cursors", "{}")).items()}
-        self.most = int(options.get("maxrecordspertrigger", options.get("maxRecordsPerTrigger", "0")) or 0)
-        self.at: dict[str, int] | None = None
 
     def _heads(self) -> dict[str, int]:
         import pyarrow.compute as pc
@@ -49,13 +47,7 @@ class LedgerReader(DataSourceStreamReader):
         return dict(self.cursors)
 
     def latestOffset(self) -> dict:
-        heads = self._heads()
-        wanted = {t: h for t, h in heads.items() if not self.cursors or t in self.cursors}
-        if self.most:
-            start = self.at or self.cursors
-            wanted = {t: min(h, start.get(t, 0) + self.most) for t, h in wanted.items()}
-        self.at = wanted
-        return wanted
+        return {t: h for t, h in self._heads().items() if not self.cursors or t in self.cursors}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         return [Slice(t, int(start.get(t, 0)), int(e)) for t, e in sorted(end.items()) if int(e) > int(start.get(t, 0))]
