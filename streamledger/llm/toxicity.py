@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -24,10 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import materialize, partitions
+
 MAX_TOXIC, MAX_CLEAN = 6000, 12000
-MAX_TERMS = 20000
+MAX_TERMS, MAX_CANDIDATES = 4000, 100_000
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
+LEAST_WEIGHT = 2.5
 PADDING = 20.0  # words added to a text's length
 
 # Letters of other scripts that look like Latin ones.
@@ -124,16 +127,11 @@ def _logistic(x: float) -> float:
 
 
 def _counts(batches):
-    """For each text of the sample: its min-hash, fold, label and features."""
+    """For each text its min-hash and its features."""
     for t in batches:
-        rows = []
-        for text, label in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
-            folded = fold(text)
-            words = set(folded.split())
-            sig = min((hash_word(w) for w in words), default=0)
-            rows.append((label, sig, folded, sorted(_features(words)) if label else None))
-        a, b, c, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.string()), pa.array(d, pa.list_(pa.string()))], ["toxic", "sig", "folded", "features"])
+        rows = [sorted(set(fold(x).split())) for x in t.column("text").to_pylist()]
+        sig = [min((hash_word(w) for w in r), default=0) for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array([sorted(_features(set(r))) for r in rows], pa.list_(pa.string()))], ["sig", "features"])
 
 
 def hash_word(w: str) -> int:
@@ -142,18 +140,48 @@ def hash_word(w: str) -> int:
     return xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) >> 1
 
 
-def _terms(support: dict, against: Counter, n_toxic: int, n_clean: int, least: int) -> dict[str, float]:
-    """Log-odds of the terms with enough support that are rare in clean texts."""
-    found = {}
-    for t, sigs in support.items():
-        a, b = len(sigs), against.get(t, 0)
-        w = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        if a >= least and w >= 2.5:
-            found[t] = (w, a)
-    # a stem that only one word carries says no more than the word
-    keep = sorted(found, key=lambda t: (-found[t][0] * math.log1p(found[t][1]), t))[:MAX_TERMS]
-    top = max((found[t][1] for t in keep), default=1)
-    return {t: found[t][0] * math.sqrt(found[t][1] / top) for t in keep}
+def _weight(support: str, n_toxic: int, against: str, n_clean: int):
+    """Log-odds of a term, as a column."""
+    return F.log((F.col(support) + 0.5) / (n_toxic + 1)) - F.log((F.col(against) + 0.5) / (n_clean + 1))
+
+
+def _clean(wanted: frozenset[str]):
+    """Numbers of texts by half and label, and how many clean texts have each wanted term."""
+
+    def run(batches):
+        n, seen = Counter(), Counter()
+        for t in batches:
+            for text, label in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
+                distinct = set(fold(text).split())
+                h = min((hash_word(w) for w in distinct), default=0) % 2
+                n[(h, label)] += 1
+                if not label:
+                    for f in _features(distinct) & wanted:
+                        seen[(h, f)] += 1
+        out = [(h * 2 + label, None, c) for (h, label), c in n.items()] + [(h * 2, f, c) for (h, f), c in seen.items()]
+        a, b, c = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.string()), pa.array(c, pa.int64())], ["k", "term", "c"])
+
+    return run
+
+
+def _neighbours(words_wanted: frozenset[str]):
+    """Each lexicon word with the word before and after it, by label."""
+
+    def run(batches):
+        pairs = Counter()
+        for t in batches:
+            for text, label in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
+                words = fold(text).split()
+                for i, w in enumerate(words):
+                    if w in words_wanted:
+                        for p in words[i - 1 : i + 1] if i else [], words[i : i + 2]:
+                            if len(p) == 2:
+                                pairs[(label, " ".join(p))] += 1
+        a, b, c = zip(*((label, p, n) for (label, p), n in pairs.items()), strict=True) if pairs else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.string()), pa.array(c, pa.int64())], ["label", "pair", "c"])
+
+    return run
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, exceptions: tuple[str, ...] = ()) -> Lexicon:
@@ -169,52 +197,36 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         return Lexicon({}, list(exceptions))
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame(sample, "doc_id long, toxic int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-    toxic = rows.where("toxic = 1").mapInArrow(_counts, "toxic int, sig long, folded string, features array<string>")
-    # features of the toxic texts that two different texts share, by fold
-    half = (F.col("sig") % 2).cast("int")
-    shared = toxic.select("sig", half.alias("half"), F.explode("features").alias("term")).groupBy("term").agg(
-        F.count_distinct("sig").alias("n"), F.count_distinct(F.when(F.col("half") == 0, F.col("sig"))).alias("n0"), F.max("half").alias("h"))
-    shared = shared.where("n >= 2").orderBy(F.desc("n"), "term").limit(10 * MAX_TERMS)
-    support = {r["term"]: (r["n"], r["n0"]) for r in shared.collect()}  # bounded by the limit
-
-    wanted = set(support)
-
-    def against(batches):
-        """Clean texts by half, how many have each wanted term, and how often a wanted word has each neighbour."""
-        n, seen, pairs = Counter(), Counter(), Counter()
-        for t in batches:
-            for text, label in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
-                words = fold(text).split()
-                distinct = set(words)
-                h = min((hash_word(w) for w in distinct), default=0) % 2
-                n[(h, label)] += 1
-                if not label:
-                    for f in _features(distinct) & wanted:
-                        seen[(h, f)] += 1
-                for i, w in enumerate(words):
-                    if w in wanted:
-                        for p in ([f"{words[i - 1]} {w}"] if i else []) + ([f"{w} {words[i + 1]}"] if i + 1 < len(words) else []):
-                            pairs[(label, p)] += 1
-        out = [("n", h * 2 + label, "", c) for (h, label), c in n.items()] + [("t", h, f, c) for (h, f), c in seen.items()]
-        out += [("p", label, p, c) for (label, p), c in pairs.items() if label == 0 or c > 1]
-        a, b, c, d = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.string()), pa.array(d, pa.int64())], ["kind", "k", "term", "c"])
-
-    counts = rows.mapInArrow(against, "kind string, k int, term string, c long").groupBy("kind", "k", "term").agg(F.sum("c").alias("c"))
-    size, clean, pairs = Counter(), [Counter(), Counter()], [Counter(), Counter()]
-    for r in counts.where("kind <> 'p' OR c >= 3").collect():  # terms of a bounded list, and pairs of words of a bounded sample
-        if r["kind"] == "n":
-            size[r["k"]] += r["c"]
-        else:
-            (clean if r["kind"] == "t" else pairs)[r["k"]][r["term"]] += r["c"]
-    n_toxic, n_clean = [size[1], size[3]], [size[0], size[2]]
-    sigs = {t: (range(a), range(b), range(a - b)) for t, (a, b) in support.items()}
+    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").repartition(partitions(spark)), "toxic-sample")
+    toxic = rows.where("toxic = 1").mapInArrow(_counts, "sig long, features array<string>")
+    half = F.col("sig") % 2
+    shared = toxic.select("sig", F.explode("features").alias("term")).groupBy("term", "sig").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(half == 0, 1).otherwise(0)).alias("n0"))
+    shared = materialize(shared.where("n >= 2").orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES), "toxic-terms")
+    wanted = frozenset(r[0] for r in shared.select("term").toLocalIterator())  # bounded by the limit
+    counts = materialize(rows.mapInArrow(_clean(wanted), "k int, term string, c long").groupBy("k", "term").agg(F.sum("c").alias("c")), "clean-terms")
+    del wanted
+    size = {r["k"]: r["c"] for r in counts.where("term IS NULL").collect()}
+    n_toxic, n_clean = [size.get(1, 0), size.get(3, 0)], [size.get(0, 0), size.get(2, 0)]
+    clean = counts.where("term IS NOT NULL").groupBy("term").agg(F.sum("c").alias("b"), F.sum(F.when(F.col("k") == 0, F.col("c")).otherwise(0)).alias("b0"))
+    terms = shared.join(clean, "term", "left").fillna(0, ["b", "b0"]).withColumns({"n1": F.col("n") - F.col("n0"), "b1": F.col("b") - F.col("b0")})
+    terms = terms.withColumn("w", _weight("n", sum(n_toxic), "b", sum(n_clean)))
+    for h in (0, 1):
+        terms = terms.withColumn(f"w{h}", _weight(f"n{h}", n_toxic[h], f"b{h}", n_clean[h]))
     least = 3 if sum(n_toxic) >= 300 else 2
-    whole = _terms({t: s[0] for t, s in sigs.items()}, clean[0] + clean[1], sum(n_toxic), sum(n_clean), least)
-    folds = [_terms({t: s[1 + h] for t, s in sigs.items()}, clean[h], n_toxic[h], n_clean[h], least) for h in (0, 1)]
-    phrases = sorted(p for p, c in pairs[0].items() if c >= 3 and c >= 10 * pairs[1].get(p, 0) and not p.isspace())
-    phrases = sorted({fold(p).strip() for p in exceptions} | {p for p in phrases if any(w in whole for w in p.split())})
+    terms = terms.where(F.greatest("w", "w0", "w1") >= LEAST_WEIGHT).orderBy(F.desc(F.col("w") * F.log1p("n")), "term").limit(MAX_TERMS)
+    found = terms.collect()  # bounded by the limit
+
+    def lexicon_of(w: str, n: str) -> dict[str, float]:
+        """Terms with enough support; the weight falls with the root of the support."""
+        keep = [r for r in found if r[n] >= least and r[w] >= LEAST_WEIGHT]
+        top = max((r[n] for r in keep), default=1)
+        return {r["term"]: r[w] * math.sqrt(r[n] / top) for r in keep}
+
+    whole, folds = lexicon_of("w", "n"), [lexicon_of("w0", "n0"), lexicon_of("w1", "n1")]
+    pairs = rows.mapInArrow(_neighbours(frozenset(whole)), "label int, pair string, c long").groupBy("pair").agg(
+        F.sum(F.when(F.col("label") == 0, F.col("c")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("label") == 1, F.col("c")).otherwise(0)).alias("toxic"))
+    pairs = pairs.where("clean >= 3 AND clean >= 10 * toxic").orderBy(F.desc("clean"), "pair").limit(MAX_TERMS)
+    phrases = sorted({fold(p).strip() for p in exceptions} | {r["pair"] for r in pairs.collect()})
     halves = [Lexicon(f, phrases) for f in folds]
 
     def densities(batches):
