@@ -193,8 +193,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     of = copies.join(whole, copies.rep == whole.id, "left").select("chunk_rep", F.coalesce("component", "rep").alias("component"))
     of = of.groupBy("chunk_rep").agg(F.min("component").alias("component"))
-    out = sets.select("doc_id", "n_shingles", "copy_of").join(of, F.col("copy_of") == F.col("chunk_rep"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # only documents that may link are joined: a null key for all others would meet in one task
+    linked = sets.where("copy_of IS NOT NULL").select("doc_id", "n_shingles", "copy_of").join(of, F.col("copy_of") == F.col("chunk_rep"))
+    alone = sets.where("copy_of IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(alone)
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,8 +35,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for a file scan the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes that the plan reads: the files of its scans; where a source doesn't know its size, the text is measured."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) < 1 << 50:
+        return sum(sizes)
+    return df.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
 
 
 def chunk_count(df: DataFrame, target: int = 32 << 20) -> int:
