@@ -230,7 +230,7 @@ def cap_both_floor(spark, sf_dir):
 
 
 MARK = """c AS (SELECT 'events' AS topic, max(seq) AS head, min(seq) AS base, {cap} AS ef, {ttl} AS xf, {trim} AS sf, {gone} AS df FROM ev),
-w AS (SELECT *, greatest(ef, xf, sf) + 1 AS evict_earliest, coalesce((SELECT min(seq) FROM ev WHERE seq > greatest(ef, xf, sf, df)), head + 1) AS earliest_seq FROM c),
+w AS (SELECT *, CAST(greatest(ef, xf, sf) + 1 AS BIGINT) AS evict_earliest, coalesce((SELECT min(seq) FROM ev WHERE seq > greatest(ef, xf, sf, df)), head + 1) AS earliest_seq FROM c),
 m AS (SELECT *, {start} > head AS fresh, {start} + 1 < evict_earliest AS lost FROM w)
 SELECT topic, head, earliest_seq, evict_earliest, fresh OR lost AS marked,
   CASE WHEN fresh THEN base WHEN lost THEN {start} + 1 END AS gap_from, CASE WHEN fresh THEN head WHEN lost THEN evict_earliest - 1 END AS gap_to,
