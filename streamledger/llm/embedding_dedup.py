@@ -169,3 +169,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """All vectors against all of the same label, cosine 0.93 or more."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+  AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+d AS (SELECT x, count(*) AS n FROM l GROUP BY x),
+r AS (SELECT x AS id, x AS node FROM l UNION SELECT r.id, l.y FROM r JOIN l ON r.node = l.x),
+c AS (SELECT id, min(node) AS low FROM r GROUP BY id)
+SELECT v.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(c.low, v.vec_id) AS component_id, coalesce(c.low, v.vec_id) = v.vec_id AS kept
+FROM v LEFT JOIN d ON v.vec_id = d.x LEFT JOIN c ON v.vec_id = c.id
+"""

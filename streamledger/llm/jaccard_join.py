@@ -202,3 +202,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Shingle counts and components of all documents; five words, a similarity of 0.8 or more."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 5, 80)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS k FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS x, c.doc_id AS y, count(*) AS shared FROM s a JOIN s c ON a.k = c.k AND a.doc_id <> c.doc_id GROUP BY a.doc_id, c.doc_id),
+l AS (SELECT x, y FROM b JOIN n nx ON b.x = nx.doc_id JOIN n ny ON b.y = ny.doc_id WHERE 100 * shared >= 80 * (nx.n + ny.n - shared)),
+r AS (SELECT x AS id, x AS node FROM l UNION SELECT r.id, l.y FROM r JOIN l ON r.node = l.x),
+c AS (SELECT id, min(node) AS low FROM r GROUP BY id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.low, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.id
+"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .embedding_dedup import op10_embedding_dedup
+from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .fingerprints import op7_fingerprints
-from .jaccard_join import op1_jaccard_join
+from .jaccard_join import OP1_SQL, op1_jaccard_join
 from .lm_scoring import OP6_SQL, op6_lm_scoring
 from .mixing import op5_source_mix
 from .packing import op9_best_fit_packing
@@ -26,6 +26,8 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL = {
+    "op1_jaccard_join": OP1_SQL,
+    "op10_embedding_dedup": OP10_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op3_warc_revisits": OP3_SQL,
     "op4_extendible_sharding": OP4_SQL,
