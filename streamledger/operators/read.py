@@ -82,6 +82,11 @@ def watch_frames(logs: DataFrame, cursors: DataFrame, limit: int = 0, evicted: D
     return out
 
 
+def idle_sessions(sessions: DataFrame, now_ms: int) -> DataFrame:
+    """Watch sessions that have had no stream for longer than they may (``sessions``: session, streams, idle_since_ms)."""
+    return sessions.where((F.col("streams") == 0) & (F.lit(now_ms) - F.col("idle_since_ms") > C.SESSION_IDLE_MS))
+
+
 def check_watch(topics: int) -> None:
     if topics > C.MAX_WATCH_TOPICS:
         raise LedgerError("invalid_request", f"at most {C.MAX_WATCH_TOPICS} topics")

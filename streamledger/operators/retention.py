@@ -53,16 +53,17 @@ def watermarks(state: DataFrame, live: DataFrame) -> DataFrame:
     return out.withColumn("evict_earliest", F.greatest("evict_floor", "expiry_floor", "source_trim_floor") + 1).fillna(0, ["count", "bytes"])
 
 
-def tombstones(state: DataFrame, from_seq: int) -> DataFrame:
+def tombstones(state: DataFrame, from_seq: int, connecting: bool = False) -> DataFrame:
     """One row a topic: does a read from ``from_seq`` have to report loss? gap_from, gap_to, reason, missed_estimate, resume_from.
 
-    Voluntary deletes are silent. A cursor past the head means that the topic was made anew.
+    Voluntary deletes are silent. A cursor past the head means that the topic was made anew. The first read of a push
+    connection (``connecting``) names a gap from_seq_too_old.
     """
     new = F.lit(from_seq) > F.col("head")
     lost = F.lit(from_seq + 1) < F.col("evict_earliest")
     start = F.when(new, F.col("base")).otherwise(F.lit(from_seq + 1))
     stop = F.when(new, F.col("head")).otherwise(F.col("evict_earliest") - 1)
-    reason = F.when(new, F.lit("recreated")).otherwise(loss_reason(F.lit(from_seq + 1)))
+    reason = F.when(new, F.lit("recreated")).otherwise(F.lit("from_seq_too_old") if connecting else loss_reason(F.lit(from_seq + 1)))
     any_ = new | lost
     resume = F.when(new, F.col("earliest_seq") - 1).when(lost, F.greatest(F.col("earliest_seq") - 1, F.lit(from_seq))).otherwise(F.lit(from_seq))
     return state.select(

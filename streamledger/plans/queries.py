@@ -286,6 +286,13 @@ def tombstone_silent_delete(spark, sf_dir):
     return _marks(spark, sf_dir, 5, before_seq=601)
 
 
+@query(f"WITH {EV} SELECT 'events' AS topic, true AS marked, 'from_seq_too_old' AS reason, 6 AS gap_from, max(seq) - 300 AS gap_to FROM ev")
+def connect_reason(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    out = T.tombstones(T.watermarks(T.floors(log, NOW, cap_records=300), log), 5, connecting=True)
+    return cast(out.select("topic", "marked", "reason", "gap_from", "gap_to"), gap_from="int")
+
+
 @query(f"WITH {EV} SELECT 'events' AS topic, greatest((SELECT max(seq) - 300 FROM ev), 850) AS evict_floor, 40 AS expiry_floor")
 def hardened_floors(spark, sf_dir):
     history = spark.createDataFrame([("events", 850, 40, 0, 0), ("events", 100, 20, 0, 0)], "topic string, evict_floor long, expiry_floor long, delete_floor long, source_trim_floor long")
@@ -696,6 +703,12 @@ def caught_up_frames(spark, sf_dir):
     return R.watch_frames(logs, cursors, 3, cursors.select("topic", F.lit(2).cast("long").alias("evict_earliest")))
 
 
+@query(f"WITH {EV} SELECT node AS session, max(ts_ms) AS idle_since_ms FROM ev GROUP BY node HAVING count(*) % 2 = 0 AND max(ts_ms) < 1706659000000 - 300000")
+def idle_sessions(spark, sf_dir):
+    rows = events_log(spark, sf_dir).groupBy(F.col("node").alias("session")).agg((F.count("*") % 2).alias("streams"), F.max("ts_ms").alias("idle_since_ms"))
+    return R.idle_sessions(rows, 1_706_659_000_000).select("session", "idle_since_ms")
+
+
 # --- scheduling --------------------------------------------------------------------------------------------------
 
 PRIO = """pr AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(user_id * 17 - 400 AS INTEGER) END AS manual, event_id % 3 <> 0 AS auto, (event_id * 977) % 400000 AS idle_ms, (event_id * 131) % 20000 AS waited_ms FROM events),
