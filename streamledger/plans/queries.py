@@ -102,13 +102,14 @@ def append_limits(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EV}, a AS (SELECT count(*) AS count, CAST(sum(bytes) AS BIGINT) AS bytes FROM ev WHERE seq <= 900),
-    b AS (SELECT count(*) AS batch_count, CAST(sum(bytes) AS BIGINT) AS batch_bytes FROM ev WHERE seq BETWEEN 901 AND 1000)
-    SELECT count, bytes, batch_count, batch_bytes, CASE WHEN batch_count > 950 OR batch_bytes > 8800 THEN 'batch_too_large'
-      WHEN count + batch_count > 950 OR bytes + batch_bytes > 8800 THEN 'topic_full' ELSE 'admit' END AS outcome FROM a, b"""
+    f"""WITH {EV}, a AS (SELECT count(*) AS count, CAST(sum(bytes) AS BIGINT) AS bytes FROM ev WHERE tag <> 'signup'),
+    b AS (SELECT count(*) AS batch_count, CAST(sum(bytes) AS BIGINT) AS batch_bytes FROM ev WHERE tag = 'signup')
+    SELECT count, bytes, batch_count, batch_bytes, CASE WHEN batch_count > 9000 OR batch_bytes > 88000 THEN 'batch_too_large'
+      WHEN count + batch_count > 9000 OR bytes + batch_bytes > 88000 THEN 'topic_full' ELSE 'admit' END AS outcome FROM a, b"""
 )
 def admit_reject(spark, sf_dir):
-    return A.admission(events_log(spark, sf_dir, 0, 900), events_log(spark, sf_dir, 900, 1000), 950, 8800)
+    log = events_log(spark, sf_dir)
+    return A.admission(log.where("tag <> 'signup'"), log.where("tag = 'signup'"), 9000, 88_000)
 
 
 @query(
@@ -524,25 +525,25 @@ def router_cycle(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {EDGES}, h AS (SELECT 'u' || user_id % 12 AS topic, 0 AS hops, count(*) AS records FROM events WHERE user_id % 12 < 2 GROUP BY 1
+    f"""WITH RECURSIVE {EDGES}, h AS (SELECT 'u' || user_id % 12 AS topic, 0 AS hops, count(*) AS records FROM events GROUP BY 1
       UNION ALL SELECT e.dest, h.hops + 1, h.records FROM h JOIN ed e ON h.topic = e.source WHERE h.hops < 8)
     SELECT topic, CAST(hops AS INTEGER) AS hops, CAST(sum(records) AS BIGINT) AS records FROM h GROUP BY topic, hops"""
 )
 def router_fixpoint(spark, sf_dir):
     u = F.col("user_id")
-    seeds = table(spark, sf_dir, "events").where(u % 12 < 2).groupBy(F.concat(F.lit("u"), u % 12).alias("topic")).agg(F.count("*").alias("records"))
+    seeds = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), u % 12).alias("topic")).agg(F.count("*").alias("records"))
     return O.hop_closure(seeds, _edges(spark, sf_dir))
 
 
 # --- queues ------------------------------------------------------------------------------------------------------
 
-#: Claims of the first 400 orders, and what became of them, all from arithmetic on seq.
+#: A claim of every order, and what became of it, all from arithmetic on seq.
 LEASES = """lv AS (
-  SELECT seq AS pos, seq, 'claimed' AS event, 'w' || seq % 4 AS node, seq AS lease_id, 1000 + seq % 9 * 100 AS deadline_ms, CAST(NULL AS BIGINT) AS ready_at_ms, 0 AS ts_ms FROM oq WHERE seq <= 400
-  UNION ALL SELECT 10000 + seq, seq, 'released', 'w' || seq % 4, seq, NULL, CASE WHEN seq % 10 = 0 THEN 5000 END, 100 FROM oq WHERE seq <= 400 AND seq % 5 = 0
-  UNION ALL SELECT 20000 + seq, seq, 'claimed', 'x', 1000 + seq, 1800, NULL, 200 FROM oq WHERE seq <= 400 AND seq % 15 = 0
-  UNION ALL SELECT 30000 + seq, seq, 'extended', 'w' || seq % 4, seq, 2500, NULL, 300 FROM oq WHERE seq <= 400 AND seq % 7 = 0
-  UNION ALL SELECT 40000 + seq, seq, 'acked', 'w' || seq % 4, seq, NULL, NULL, 400 FROM oq WHERE seq <= 400 AND seq % 11 = 0)"""
+  SELECT seq AS pos, seq, 'claimed' AS event, 'w' || seq % 4 AS node, seq AS lease_id, 1000 + seq % 9 * 100 AS deadline_ms, CAST(NULL AS BIGINT) AS ready_at_ms, 0 AS ts_ms FROM oq
+  UNION ALL SELECT 1000000000 + seq, seq, 'released', 'w' || seq % 4, seq, NULL, CASE WHEN seq % 10 = 0 THEN 5000 END, 100 FROM oq WHERE seq % 5 = 0
+  UNION ALL SELECT 2000000000 + seq, seq, 'claimed', 'x', 1000000000 + seq, 1800, NULL, 200 FROM oq WHERE seq % 15 = 0
+  UNION ALL SELECT 3000000000 + seq, seq, 'extended', 'w' || seq % 4, seq, 2500, NULL, 300 FROM oq WHERE seq % 7 = 0
+  UNION ALL SELECT 4000000000 + seq, seq, 'acked', 'w' || seq % 4, seq, NULL, NULL, 400 FROM oq WHERE seq % 11 = 0)"""
 FOLD = """cl AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY pos DESC) AS n FROM lv WHERE event = 'claimed'),
 fo AS (SELECT c.seq, c.lease_id, c.node, coalesce((SELECT e.deadline_ms FROM lv e WHERE e.event = 'extended' AND e.seq = c.seq AND e.lease_id = c.lease_id ORDER BY e.pos DESC LIMIT 1), c.deadline_ms) AS deadline_ms,
     EXISTS (SELECT 1 FROM lv e WHERE e.event = 'released' AND e.seq = c.seq AND e.lease_id = c.lease_id) AS released,
@@ -557,15 +558,15 @@ AT = 1500
 
 def _lease_events(queue: DataFrame) -> DataFrame:
     s, none = F.col("seq"), F.lit(None).cast("long")
-    q = queue.where("seq <= 400").select("seq")
+    q = queue.select("seq")
     worker = F.concat(F.lit("w"), s % 4)
-    part = lambda rows, base, event, node, lease, deadline, ready, ts: rows.select((F.lit(base) + s).alias("pos"), "seq", F.lit(event).alias("event"), node.alias("node"), lease.alias("lease_id"), deadline.cast("long").alias("deadline_ms"), ready.cast("long").alias("ready_at_ms"), F.lit(ts).alias("ts_ms"))
+    part = lambda rows, base, event, node, lease, deadline, ready, ts: rows.select((F.lit(base * 1_000_000_000) + s).alias("pos"), "seq", F.lit(event).alias("event"), node.alias("node"), lease.alias("lease_id"), deadline.cast("long").alias("deadline_ms"), ready.cast("long").alias("ready_at_ms"), F.lit(ts).alias("ts_ms"))
     return (
         part(q, 0, "claimed", worker, s, 1000 + s % 9 * 100, none, 0)
-        .union(part(q.where("seq % 5 = 0"), 10000, "released", worker, s, none, F.when(s % 10 == 0, 5000), 100))
-        .union(part(q.where("seq % 15 = 0"), 20000, "claimed", F.lit("x"), 1000 + s, F.lit(1800), none, 200))
-        .union(part(q.where("seq % 7 = 0"), 30000, "extended", worker, s, F.lit(2500), none, 300))
-        .union(part(q.where("seq % 11 = 0"), 40000, "acked", worker, s, none, none, 400))
+        .union(part(q.where("seq % 5 = 0"), 1, "released", worker, s, none, F.when(s % 10 == 0, 5000), 100))
+        .union(part(q.where("seq % 15 = 0"), 2, "claimed", F.lit("x"), 1_000_000_000 + s, F.lit(1800), none, 200))
+        .union(part(q.where("seq % 7 = 0"), 3, "extended", worker, s, F.lit(2500), none, 300))
+        .union(part(q.where("seq % 11 = 0"), 4, "acked", worker, s, none, none, 400))
     )
 
 
@@ -610,13 +611,13 @@ def dead_letter(spark, sf_dir):
     return Q.divert(dead, "orders", "dead", 7, AT, 1)
 
 
-ASK = "ak AS (SELECT seq, CASE WHEN seq % 2 = 0 THEN 'w' || seq % 4 ELSE 'stranger' END AS node, CASE WHEN seq % 3 = 0 THEN seq + CASE WHEN seq % 6 = 0 THEN 1 ELSE 0 END END AS lease_id FROM oq WHERE seq <= 300)"
+ASK = "ak AS (SELECT seq, CASE WHEN seq % 2 = 0 THEN 'w' || seq % 4 ELSE 'stranger' END AS node, CASE WHEN seq % 3 = 0 THEN seq + CASE WHEN seq % 6 = 0 THEN 1 ELSE 0 END END AS lease_id FROM oq)"
 DONE = "dn AS (SELECT a.seq, a.node, l.lease_id AS held FROM ak a JOIN ls l ON a.seq = l.seq AND l.leased AND l.node = a.node AND (a.lease_id IS NULL OR a.lease_id = l.lease_id))"
 
 
 def _asked(queue):
     s = F.col("seq")
-    return queue.where("seq <= 300").select("seq", F.when(s % 2 == 0, F.concat(F.lit("w"), s % 4)).otherwise("stranger").alias("node"), F.when(s % 3 == 0, s + F.when(s % 6 == 0, 1).otherwise(0)).alias("lease_id"))
+    return queue.select("seq", F.when(s % 2 == 0, F.concat(F.lit("w"), s % 4)).otherwise("stranger").alias("node"), F.when(s % 3 == 0, s + F.when(s % 6 == 0, 1).otherwise(0)).alias("lease_id"))
 
 
 @query(f"WITH {OR}, {LEASES}, {FOLD}, {ASK}, {DONE} SELECT a.seq, a.node, a.lease_id, d.seq IS NOT NULL AS done, (SELECT l.lease_id FROM ls l WHERE l.seq = a.seq AND l.leased) AS held_id FROM ak a LEFT JOIN dn d ON a.seq = d.seq")
@@ -729,10 +730,15 @@ def effective_priority(spark, sf_dir):
 BAND = "CASE WHEN priority >= 750 THEN 4 WHEN priority >= 500 THEN 3 WHEN priority >= 250 THEN 2 WHEN priority >= 0 THEN 1 ELSE 0 END"
 
 
-@query(f"WITH {PRIO}, s AS (SELECT 'u' || event_id AS topic, {BAND} AS band, event_id AS enqueued_ms FROM ep WHERE event_id < 500) SELECT topic, band, enqueued_ms, CAST(row_number() OVER (ORDER BY band DESC, enqueued_ms, topic) AS INTEGER) AS turn FROM s")
+@query(
+    f"""WITH {PRIO}, u AS (SELECT 'u' || e.user_id AS topic, max(ep.priority) AS priority, min(ep.waited_ms) AS enqueued_ms FROM ep JOIN events e ON ep.event_id = e.event_id GROUP BY e.user_id),
+    s AS (SELECT topic, {BAND} AS band, enqueued_ms FROM u) SELECT topic, band, enqueued_ms, CAST(row_number() OVER (ORDER BY band DESC, enqueued_ms, topic) AS INTEGER) AS turn FROM s"""
+)
 def priority_bands(spark, sf_dir):
-    rows = _priorities(spark, sf_dir).where("event_id < 500")
-    return O.drain_order(rows.select(F.concat(F.lit("u"), F.col("event_id")).alias("topic"), X.priority_band(F.col("priority")).alias("band"), F.col("event_id").alias("enqueued_ms")))
+    """Every user's log is a source with work."""
+    users = table(spark, sf_dir, "events").select("event_id", "user_id")
+    rows = _priorities(spark, sf_dir).join(users, "event_id").groupBy(F.concat(F.lit("u"), F.col("user_id")).alias("topic")).agg(F.max("priority").alias("priority"), F.min("waited_ms").alias("enqueued_ms"))
+    return O.drain_order(rows.select("topic", X.priority_band(F.col("priority")).alias("band"), "enqueued_ms"))
 
 
 # --- the flagship ------------------------------------------------------------------------------------------------
