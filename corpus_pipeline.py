@@ -37,11 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the windows that an earlier document has. A text that keeps all its words stays as it is; one that keeps none goes."""
-    cut = remove_repeated_windows(docs, 13).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "n_words", "n_removed", "kept_text")
-    joined = docs.join(cut.dropDuplicates(["cut_id"]), docs.doc_id == cut.cut_id, "left").where("cut_id IS NULL OR n_removed < n_words")
-    text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    n_chars = F.when(F.col("cut_id").isNull(), F.col("n_chars")).otherwise(F.length("kept_text"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    cut = remove_repeated_windows(docs, 13, F.struct("lang", "source", "n_chars")).where("n_removed = 0 OR n_removed < n_words")
+    whole = F.col("n_removed") == 0
+    n_chars = F.when(whole, F.col("row.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
+    text = F.when(whole, F.col("text")).otherwise(F.col("kept_text"))
+    return cut.select("doc_id", text.alias("text"), "row.lang", "row.source", n_chars.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import exchange, expand
@@ -46,8 +46,15 @@ def _windows(table: pa.Table, k: int):
     return table, ids, keys, at, inverse, np.concatenate(docs)
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans of removed words, kept_text: the kept words joined by one space)."""
+def remove_repeated_windows(docs: DataFrame, window: int = 13, row: Column | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans of removed words, kept_text: the kept words joined by one space).
+
+    With ``row`` (a struct of other columns) the text as it was and the row come along, as text and row, so that
+    nobody has to join the texts again.
+    """
+    extra = [] if row is None else ["row"]
+    schema = SCHEMA if row is None else f"{SCHEMA}, text string, row {docs.select(row.alias('row')).dtypes[0][1]}"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if row is None else [row.alias("row")]))
 
     def local(table: pa.Table):
         _, ids, keys, at, _, owner = _windows(table, window)
@@ -108,9 +115,12 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
         body = np.concatenate([np.zeros(0, np.uint8), *pieces])
         text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(text_offsets.tobytes()), pa.py_buffer(body.tobytes())])
         columns = [table["doc_id"].combine_chunks(), pa.array(n_words), pa.array(n_removed), pa.ListArray.from_arrays(pa.array(span_offsets), struct), text]
-        return pa.table(dict(zip(["doc_id", "n_words", "n_removed", "spans", "kept_text"], columns, strict=True)))
+        out = pa.table(dict(zip(["doc_id", "n_words", "n_removed", "spans", "kept_text"], columns, strict=True)))
+        for c in ["text", *extra] if extra else []:
+            out = out.append_column(c, table[c])
+        return out
 
-    return exchange(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], ["doc_id", "text"], local, combine, finish, SCHEMA)
+    return exchange(docs, ["doc_id", "text", *extra], ["doc_id", "text"], local, combine, finish, schema)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
