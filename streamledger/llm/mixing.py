@@ -7,7 +7,7 @@ flow that fills the targets says how many tokens each pattern gives. Then docume
 pattern's documents for each whole pass, and for the rest those with the smallest hashes, cut where the sum is met.
 
 Only patterns and histograms of hashes reach the driver: at most ``MAX_PATTERNS`` patterns (checked), each with a fixed
-number of histogram cells.
+number of histogram cells. The plan has a row a pattern, so it is broadcast and a hot source stays where it is.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def _cuts(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int], list[t
             break
         shift = 40 - 10 * (level + 1)
         at = spark.createDataFrame(list(open_.items()), "pattern int, prefix long")
-        cells = rows.join(at, "pattern").where(F.shiftright("hash", shift + 10) == F.col("prefix"))
+        cells = rows.join(F.broadcast(at), "pattern").where(F.shiftright("hash", shift + 10) == F.col("prefix"))
         cells = cells.groupBy("pattern", F.shiftright("hash", shift).alias("cell")).agg(F.sum("size").alias("size"))
         found = defaultdict(list)
         for r in cells.collect():  # at most CELLS a pattern
@@ -145,7 +145,7 @@ def _cuts(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int], list[t
         if not gaps:
             break
         taken = spark.createDataFrame(picks, "pattern int, hash long")
-        more = rows.join(spark.createDataFrame(gaps, "pattern int, gap long, cut long"), "pattern").where("hash > cut AND size > 0 AND size <= gap")
+        more = rows.join(F.broadcast(spark.createDataFrame(gaps, "pattern int, gap long, cut long")), "pattern").where("hash > cut AND size > 0 AND size <= gap")
         more = more.join(taken, ["pattern", "hash"], "left_anti").groupBy("pattern", "hash").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).where("size <= gap")
         more = more.groupBy("pattern", F.floor(F.log2("size")).alias("class")).agg(F.min(F.struct("hash", "size")).alias("best")).collect()  # a row for each power of two
         for r in sorted(more, key=lambda r: (r["pattern"], -r["class"])):
@@ -183,11 +183,11 @@ def mix(docs: DataFrame, members: Column, targets: dict | None = None, weigh=Non
     spark = docs.sparkSession
     numbers = spark.createDataFrame([(list(p), i) for p, i in number.items()], "_members array<string>, pattern int")
     same = F.expr("transform(_members, x -> coalesce(concat('+', x), '-'))")
-    tagged = rows.withColumn("_key", same).join(numbers.withColumn("_key", same).drop("_members"), "_key").drop("_key") if found else rows.withColumn("pattern", F.lit(0))
+    tagged = rows.withColumn("_key", same).join(F.broadcast(numbers.withColumn("_key", same).drop("_members")), "_key").drop("_key") if found else rows.withColumn("pattern", F.lit(0))
     cuts, picks = _cuts(tagged.select("pattern", "hash", F.col("_size").alias("size")), rest) if found else ({}, [])
     plan = spark.createDataFrame([(i, whole[i], cuts.get(i, -1)) for i in whole], "pattern int, whole long, cut long")
     picked = spark.createDataFrame([(*p, 1) for p in picks], "pattern int, hash long, extra int")
-    out = tagged.join(plan, "pattern").join(picked, ["pattern", "hash"], "left")
+    out = tagged.join(F.broadcast(plan), "pattern").join(picked, ["pattern", "hash"], "left")
     once_more = (F.col("hash") <= F.col("cut")) | F.col("extra").isNotNull()
     out = out.withColumn("_copies", F.when(F.col("_size") == 0, 0).otherwise(F.col("whole") + once_more.cast("long")))
     return out.select(*keep, "_size", "_members", "_copies"), {"targets": goal, "sizes": dict(sizes), "gives": gives}
@@ -205,4 +205,4 @@ def op5_source_mix(spark, sf_dir: str) -> DataFrame:
     out, plan = mix(docs, F.array("source"), weigh=cycle_weights, max_repeats=2, keep=("doc_id",))
     facts = spark.createDataFrame([(s, int(plan["sizes"][s]), float(plan["targets"][s])) for s in plan["sizes"]], "source string, source_size long, target double")
     out = out.withColumn("source", F.col("_members")[0])
-    return out.join(facts, out.source.eqNullSafe(facts.source)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
+    return out.join(F.broadcast(facts), out.source.eqNullSafe(facts.source)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))
