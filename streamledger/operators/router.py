@@ -16,6 +16,11 @@ def forward_window(source: DataFrame, cursor: int, head: int, batch: int = C.ROU
     return source.where((F.col("seq") > cursor) & (F.col("seq") <= min(head, cursor + batch)))
 
 
+def pending(source: DataFrame, cursor: int) -> DataFrame:
+    """All that a router has still to look at, (cursor, head]: what ``forward_window`` gives pass after pass until the head."""
+    return source.where(F.col("seq") > cursor)
+
+
 def forward(source: DataFrame, dest: str, dest_head: int, now_ms: int, match=None, preserve_node: bool = True, preserve_tag: bool = True, dest_keys: DataFrame | None = None, router: str = "") -> DataFrame:
     """Records as they arrive in ``dest``: filtered, below the hop cap, numbered after its head, stamped with ``now_ms``.
 

@@ -506,6 +506,48 @@ def router_backpressure(spark, sf_dir):
     return O.accepted_prefix(O.forward(log, "dest", 70, NOW), 200, 1500).select("source_seq", "seq")
 
 
+# The six queries above show one pass of at most a batch; these take the log from the cursor to its head.
+
+
+@query(fwd("seq > 100"))
+def router_forward_log(spark, sf_dir):
+    return O.forward(O.pending(events_log(spark, sf_dir, 100), 100), "dest", 70, NOW).drop("source_key")
+
+
+@query(fwd("tag = 'purchase'"))
+def router_filter_log(spark, sf_dir):
+    return O.forward(O.pending(events_log(spark, sf_dir), 0), "dest", 70, NOW, match="purchase").drop("source_key")
+
+
+@query(fwd("starts_with(tag, 's')", "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)"))
+def router_clear_node_tag_log(spark, sf_dir):
+    return O.forward(O.pending(events_log(spark, sf_dir), 0), "dest", 70, NOW, match="s*", preserve_node=False, preserve_tag=False).drop("source_key")
+
+
+@query(fwd("seq % 3 > 0"))
+def router_exactly_once_log(spark, sf_dir):
+    log = O.pending(events_log(spark, sf_dir), 0)
+    there = log.where("seq % 3 = 0").select(F.concat_ws(":", F.lit("mirror"), "topic", F.col("seq").cast("string")).alias("source_key"))
+    return O.forward(log, "dest", 70, NOW, dest_keys=there, router="mirror").drop("source_key")
+
+
+@query(f"WITH {EV} SELECT 'dest' AS topic, 70 + row_number() OVER (ORDER BY seq) AS seq, seq AS source_seq, CAST(seq % 12 + 1 AS INTEGER) AS hops FROM ev WHERE seq % 12 < 8")
+def router_hop_cap_log(spark, sf_dir):
+    log = O.pending(events_log(spark, sf_dir), 0).withColumn("hops", (F.col("seq") % 12).cast("int"))
+    return O.forward(log, "dest", 70, NOW).select("topic", "seq", "source_seq", "hops")
+
+
+@query(
+    f"""WITH {EV}, h AS (SELECT max(seq) AS head FROM ev), f AS (SELECT seq, row_number() OVER (ORDER BY seq) AS n, sum(bytes) OVER (ORDER BY seq) AS b FROM ev WHERE tag <> 'view')
+    SELECT seq AS source_seq, 70 + n AS seq FROM f, h WHERE n <= head // 2 AND b <= head * 5"""
+)
+def router_backpressure_log(spark, sf_dir):
+    """A destination with room for half as many records as the source has, and five bytes for each."""
+    log = events_log(spark, sf_dir)
+    head = log.agg(F.max("seq")).first()[0] or 0
+    return O.accepted_prefix(O.forward(O.pending(log, 0).where("tag <> 'view'"), "dest", 70, NOW), head // 2, head * 5).select("source_seq", "seq")
+
+
 @query("SELECT CAST(range AS BIGINT) AS source_seq FROM range(41, 100)")
 def router_source_trim(spark, sf_dir):
     return O.source_trim(40, 100, spark)
