@@ -10,15 +10,17 @@
    documents, cut into pieces of bounded size, are the groups; each group has the union of its members' shingles.
 4. A document opens a group of another label only if they share a prefix shingle, their sizes and the shingle's
    place in the order allow it (positional filter), and the shingles it has in the group's union reach what a link needs. Then it is compared with each member.
-5. Links give connected components.
+5. Documents of one label are compared with each other, in cells of two blocks of bounded size: products of 0/1 matrices.
+6. Links give connected components; a document's number of links is summed over cells, weighted by the copies of its partners.
 
 Two documents link when ``100 * |A n B| >= percent * |A u B|``. No cap on partners or candidates.
-A group of copies costs one comparison a copy, not one a pair.
+Exact copies cost one comparison a copy, not one a pair. Cells return numbers of links, not pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,16 @@ from .exchange import exchange, expand
 from .runtime import materialize
 from .words import mix, shingle_sets, text_buffer
 
-_SETS = "doc_id long, n_shingles long, copy_of long, digest binary, central long, k0 long, k1 long, k2 long, prefix int, tokens binary"
+_SETS = "doc_id long, n_shingles long, copy_of long, digest binary, central long, k0 long, k1 long, k2 long, prefix int, tokens binary, c long"
 _SEEDS = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xA54FF53A5F1D36F1)]
 GROUP = 64  # members of a group
 QUERIES = 256  # documents that one task opens a group for
+BLOCK, BLOCK_BYTES = 512, 8 << 20  # documents of a label, and bytes of their shingles, in a block
+_DEGREES = "id long, degree long, low long"
 
 
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, and for documents that may link: digest, min-hashes, prefix length, shared shingles rarest first)."""
+    """(doc_id, n_shingles, and for documents that may link: digest, min-hashes, prefix length, shared shingles rarest first, rows of the chunk with the same set)."""
 
     def sets(table: pa.Table):
         data, offsets = text_buffer(table["text"])
@@ -56,32 +60,35 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         df = answers[0][inverse] if len(keys) else np.zeros(0, np.int64)
         ids, at = table["doc_id"].to_pylist(), 0
         first: dict[bytes, int] = {}
+        count: Counter[bytes] = Counter()
         rows: list[list] = []
         for i, x in zip(ids, each, strict=True):
             n, f = len(x), df[at : at + len(x)]
             at += n
             shared = f >= 2
             prefix = n - -(-percent * n // 100) + 1 - (n - int(shared.sum()))
-            rows.append([n, *[None] * 8])
+            rows.append([n, *[None] * 9])
             if n == 0 or prefix <= 0 or i is None:
                 continue
             digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
             low = [int(mix(x ^ s).min().view(np.int64)) for s in _SEEDS]
             tokens, f = x[shared], f[shared]
             order = np.lexsort((tokens, f))
-            rows[-1][1:] = [None, digest, int(f.sum()) * 1000 // n, *low, min(prefix, len(tokens)), tokens[order].tobytes()]
+            rows[-1][1:] = [None, digest, int(f.sum()) * 1000 // n, *low, min(prefix, len(tokens)), tokens[order].tobytes(), None]
             first[digest] = min(i, first.get(digest, i))
+            count[digest] += 1
         seen = set()
         for i, row in zip(ids, rows, strict=True):
             if row[2] is not None:
                 row[1] = first[row[2]]
                 if row[1] != i or i in seen:  # a copy within the chunk: its smallest document stands for it
-                    row[2:] = [None] * 7
+                    row[2:] = [None] * 8
                 else:
+                    row[9] = count[row[2]]
                     seen.add(i)
         columns = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary()]
-        names = ["n_shingles", "copy_of", "digest", "central", "k0", "k1", "k2", "prefix", "tokens"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.int64()]
+        names = ["n_shingles", "copy_of", "digest", "central", "k0", "k1", "k2", "prefix", "tokens", "c"]
         return pa.table({"doc_id": table["doc_id"].combine_chunks()} | {c: pa.array(v, t) for c, v, t in zip(names, columns, kinds, strict=True)})
 
     return exchange(docs, ["doc_id", "text"], ["doc_id", "text"], local, combine, finish, _SETS)
@@ -117,43 +124,89 @@ def _explode_prefix(batches):
 
 
 def _open_groups(percent: int):
+    """For each query its links with members of the group and one of them (all members are connected), and for each member its links with queries."""
+
     def check(members, queries):
-        a, b = [], []
+        degree: Counter[int] = Counter()
+        low: dict[int, int] = {}
         if members.num_rows and queries.num_rows:
-            ids, sizes = members["doc_id"].to_pylist(), members["n_shingles"].to_pylist()
+            ids, sizes, copies = (members[c].to_pylist() for c in ("doc_id", "n_shingles", "c"))
             each = [np.frombuffer(x, np.uint64) for x in members["tokens"].to_pylist()]
             union = np.unique(np.concatenate(each))
-            for q, n, x in zip(queries["query"].to_pylist(), queries["query_n"].to_pylist(), queries["query_tokens"].to_pylist(), strict=True):
+            for q, n, cq, x in zip(*(queries[c].to_pylist() for c in ("query", "query_n", "query_c", "query_tokens")), strict=True):
                 x = np.frombuffer(x, np.uint64)
                 at = np.searchsorted(union, x)
                 at[at == len(union)] = 0
                 bound = int((union[at] == x).sum())
                 if 100 * bound < percent * max(n, min(sizes)):
                     continue
-                for m, ny, y in zip(ids, sizes, each, strict=True):
-                    if 100 * bound >= percent * max(n, ny) and _links(x, n, y, ny, percent):
-                        a.append(q)
-                        b.append(m)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                for m, ny, cm, y in zip(ids, sizes, copies, each, strict=True):
+                    if m != q and 100 * bound >= percent * max(n, ny) and _links(x, n, y, ny, percent):
+                        degree[q] += cm
+                        degree[m] += cq
+                        low.setdefault(q, m)
+        return pa.table({"id": pa.array(degree, pa.int64()), "degree": pa.array(degree.values(), pa.int64()), "low": pa.array([low.get(i) for i in degree], pa.int64())})
 
     return check
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id: the smallest doc_id reachable by links, itself included).
+def _shared(tokens: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``a`` has in common with each of ``b`` (positions in ``tokens``)."""
+    row = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    _, column, df = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    keep = df[column] >= 2
+    row, column = row[keep], (np.cumsum(df >= 2) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(1024, (1 << 21) // len(tokens))
+    out = np.zeros((len(a), len(b)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [start, start + width])
+        m = np.zeros((len(tokens), int(column[j - 1]) - start + 1), np.float32)  # sums below 2^24 are exact
+        m[row[i:j], column[i:j] - start] = 1
+        out += (m[a] @ m[b].T).astype(np.int64)
+    return out
+
+
+def _within(percent: int):
+    """Links between two blocks of a label, or inside one; its documents are connected by their leader."""
+
+    def check(key, cell):
+        block, ids, n, c = (cell[x].to_numpy() for x in ("block", "doc_id", "n_shingles", "c"))
+        lo, hi = key[1].as_py(), key[2].as_py()
+        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        degree = np.zeros(len(ids), np.int64)
+        if len(a) and len(b) and len(ids) > 1:
+            both = _shared([np.frombuffer(x, np.uint64) for x in cell["tokens"].to_pylist()], a, b)
+            mask = (100 * both >= percent * (n[a][:, None] + n[b] - both)) & (ids[a][:, None] != ids[b])
+            degree[a] += mask @ c[b]
+            if lo != hi:
+                degree[b] += c[a] @ mask
+        some = degree > 0
+        return pa.table({"id": pa.array(ids[some]), "degree": pa.array(degree[some]), "low": pa.nulls(int(some.sum()), pa.int64())})
+
+    return check
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, n_links: the rows it links with, component_id: the smallest doc_id reachable by links, itself included).
 
     Texts are lower-cased in A-Z. A null or blank text has no shingles and links with nothing; a text of fewer than ``words``
     words has one shingle, all of it. doc_id has to be unique: rows that repeat one are judged one by one
-    and share its component. A row without doc_id is returned with a null component. Other columns are ignored.
+    and share its component and the largest n_links. A row without doc_id is returned with a null component and no link. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(_sets(docs, words, percent), "sets")
     near = sets.where("digest IS NOT NULL")
-    head = near.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    head = near.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.sum("c").alias("c"))
     # a digest has a row a chunk at most
-    copies = materialize(near.select("doc_id", "digest").join(head, "digest").select(F.col("doc_id").alias("chunk_rep"), "rep"), "copies")
-    reps = copies.where("chunk_rep = rep").select(F.col("rep").alias("doc_id")).distinct()
-    reps = materialize(near.join(reps, "doc_id", "left_semi").drop("digest", "copy_of"), "reps")
+    copies = materialize(near.select("doc_id", "digest").join(head, "digest").select(F.col("doc_id").alias("chunk_rep"), "rep", "digest", "c"), "copies")
+    reps = copies.where("chunk_rep = rep").select(F.col("rep").alias("doc_id"), "digest", "c")
+    if reps.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        reps = near.drop("c").join(reps, ["doc_id", "digest"])
+    else:  # a doc_id that repeats with its text in several chunks
+        reps = near.drop("c").dropDuplicates(["doc_id", "digest"]).join(reps.distinct(), ["doc_id", "digest"])
+    reps = materialize(reps.drop("digest", "copy_of"), "reps")
 
     labels = None
     left = reps
@@ -184,19 +237,33 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     salts = pairs.groupBy("label", "piece").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("salts"))
     asked = pairs.join(salts, ["label", "piece"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
-    sought = grouped.select(F.col("doc_id").alias("query"), F.col("n_shingles").alias("query_n"), F.col("tokens").alias("query_tokens"))
+    sought = grouped.select(F.col("doc_id").alias("query"), F.col("n_shingles").alias("query_n"), F.col("c").alias("query_c"), F.col("tokens").alias("query_tokens"))
     asked = asked.select(F.col("label").alias("l"), F.col("piece").alias("p"), F.col("salt").alias("s"), F.col("doc_id").alias("query")).join(sought, "query")
-    held = grouped.join(salts, ["label", "piece"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("label", "piece", "salt", "doc_id", "n_shingles", "tokens")
-    opened = held.groupBy("label", "piece", "salt").cogroup(asked.groupBy("l", "p", "s")).applyInArrow(_open_groups(percent), "a long, b long")
-    links = attached.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).union(opened)
-    whole = components(links)
-
-    of = copies.join(whole, copies.rep == whole.id, "left").select("chunk_rep", F.coalesce("component", "rep").alias("component"))
-    of = of.groupBy("chunk_rep").agg(F.min("component").alias("component"))
+    held = grouped.join(salts, ["label", "piece"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("label", "piece", "salt", "doc_id", "n_shingles", "c", "tokens")
+    opened = held.groupBy("label", "piece", "salt").cogroup(asked.groupBy("l", "p", "s")).applyInArrow(_open_groups(percent), _DEGREES)
+
+    several = grouped.where("size > 1")
+    blocks = several.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("tokens")) / BLOCK_BYTES)).cast("long").alias("blocks"))
+    inside = several.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    inside = inside.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "n_shingles", "c", "tokens")
+    within = inside.groupBy("label", "lo", "hi").applyInArrow(_within(percent), _DEGREES)
+
+    links = materialize(opened.union(within), "links")
+    whole = components(attached.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).union(links.where("low IS NOT NULL").select("id", "low")))
+    degrees = links.groupBy(F.col("id").alias("linked")).agg(F.sum("degree").alias("degree"))
+
+    of = copies.join(whole, copies.rep == whole.id, "left").join(degrees, copies.rep == degrees.linked, "left")
+    of = of.select("chunk_rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("degree", F.lit(0)) + F.col("c") - 1).alias("n"))
+    of = of.groupBy("chunk_rep").agg(F.min("component").alias("component"), F.max("n").alias("n"))
     # only documents that may link are joined: a null key for all others would meet in one task
     linked = sets.where("copy_of IS NOT NULL").select("doc_id", "n_shingles", "copy_of").join(of, F.col("copy_of") == F.col("chunk_rep"))
-    alone = sets.where("copy_of IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(alone)
+    alone = sets.where("copy_of IS NULL").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", "n_shingles", F.col("n").alias("n_links"), F.col("component").alias("component_id")).union(alone)
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``jaccard_join`` without its n_links."""
+    return jaccard_join(docs, words, percent).drop("n_links")
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
