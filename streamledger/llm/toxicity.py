@@ -28,6 +28,7 @@ from .runtime import materialize, partitions
 
 MAX_TOXIC, MAX_CLEAN = 6000, 12000
 MAX_TERMS, MAX_CANDIDATES = 4000, 100_000
+SUPPORT = 2  # distinct toxic texts a term needs
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 LEAST_WEIGHT = 2.5
@@ -127,11 +128,12 @@ def _logistic(x: float) -> float:
 
 
 def _counts(batches):
-    """For each text its min-hash and its features."""
+    """For each text its min-hash, its label and its features; a null feature stands for the text itself."""
     for t in batches:
         rows = [sorted(set(fold(x).split())) for x in t.column("text").to_pylist()]
         sig = [min((hash_word(w) for w in r), default=0) for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array([sorted(_features(set(r))) for r in rows], pa.list_(pa.string()))], ["sig", "features"])
+        features = pa.array([[None, *sorted(_features(set(r)))] for r in rows], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), t.column("toxic"), features], ["sig", "toxic", "features"])
 
 
 def hash_word(w: str) -> int:
@@ -145,26 +147,6 @@ def _weight(support: str, n_toxic: int, against: str, n_clean: int):
     return F.log((F.col(support) + 0.5) / (n_toxic + 1)) - F.log((F.col(against) + 0.5) / (n_clean + 1))
 
 
-def _clean(wanted: frozenset[str]):
-    """Numbers of texts by half and label, and how many clean texts have each wanted term."""
-
-    def run(batches):
-        n, seen = Counter(), Counter()
-        for t in batches:
-            for text, label in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
-                distinct = set(fold(text).split())
-                h = min((hash_word(w) for w in distinct), default=0) % 2
-                n[(h, label)] += 1
-                if not label:
-                    for f in _features(distinct) & wanted:
-                        seen[(h, f)] += 1
-        out = [(h * 2 + label, None, c) for (h, label), c in n.items()] + [(h * 2, f, c) for (h, f), c in seen.items()]
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.string()), pa.array(c, pa.int64())], ["k", "term", "c"])
-
-    return run
-
-
 def _neighbours(words_wanted: frozenset[str]):
     """Each lexicon word with the word before and after it, by label."""
 
@@ -198,27 +180,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame(sample, "doc_id long, toxic int"))
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").repartition(partitions(spark)), "toxic-sample")
-    toxic = rows.where("toxic = 1").mapInArrow(_counts, "sig long, features array<string>")
-    half = F.col("sig") % 2
-    shared = toxic.select("sig", F.explode("features").alias("term")).groupBy("term", "sig").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n"), F.sum(F.when(half == 0, 1).otherwise(0)).alias("n0"))
-    shared = materialize(shared.where("n >= 2").orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES), "toxic-terms")
-    wanted = frozenset(r[0] for r in shared.select("term").toLocalIterator())  # bounded by the limit
-    counts = materialize(rows.mapInArrow(_clean(wanted), "k int, term string, c long").groupBy("k", "term").agg(F.sum("c").alias("c")), "clean-terms")
-    del wanted
-    size = {r["k"]: r["c"] for r in counts.where("term IS NULL").collect()}
-    n_toxic, n_clean = [size.get(1, 0), size.get(3, 0)], [size.get(0, 0), size.get(2, 0)]
-    clean = counts.where("term IS NOT NULL").groupBy("term").agg(F.sum("c").alias("b"), F.sum(F.when(F.col("k") == 0, F.col("c")).otherwise(0)).alias("b0"))
-    terms = shared.join(clean, "term", "left").fillna(0, ["b", "b0"]).withColumns({"n1": F.col("n") - F.col("n0"), "b1": F.col("b") - F.col("b0")})
+    # distinct min-hashes of each term by label and half; those of the null term are the numbers of texts
+    seen = rows.mapInArrow(_counts, "sig long, toxic int, features array<string>").select("sig", "toxic", F.explode("features").alias("term"))
+    seen = seen.repartition("term").groupBy("term", "sig", "toxic").agg(F.lit(1).alias("one"))
+    number = lambda v, h: F.sum(F.when((F.col("toxic") == v) & (F.col("sig") % 2 == h), 1).otherwise(0))
+    counts = seen.groupBy("term").agg(*[number(v, h).alias(f"{c}{h}") for v, c in ((1, "n"), (0, "b")) for h in (0, 1)])
+    counts = counts.withColumns({"n": F.col("n0") + F.col("n1"), "b": F.col("b0") + F.col("b1")})
+    counts = materialize(counts.where(f"term IS NULL OR n >= {SUPPORT}"), "toxic-terms")
+    size = counts.where("term IS NULL").first()
+    if size is None:  # no labelled document is there
+        return Lexicon({}, list(exceptions))
+    n_toxic, n_clean = [size["n0"], size["n1"]], [size["b0"], size["b1"]]
+    terms = counts.where("term IS NOT NULL").orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
     terms = terms.withColumn("w", _weight("n", sum(n_toxic), "b", sum(n_clean)))
     for h in (0, 1):
         terms = terms.withColumn(f"w{h}", _weight(f"n{h}", n_toxic[h], f"b{h}", n_clean[h]))
-    least = 3 if sum(n_toxic) >= 300 else 2
     terms = terms.where(F.greatest("w", "w0", "w1") >= LEAST_WEIGHT).orderBy(F.desc(F.col("w") * F.log1p("n")), "term").limit(MAX_TERMS)
     found = terms.collect()  # bounded by the limit
 
     def lexicon_of(w: str, n: str) -> dict[str, float]:
         """Terms with enough support; the weight falls with the root of the support."""
-        keep = [r for r in found if r[n] >= least and r[w] >= LEAST_WEIGHT]
+        keep = [r for r in found if r[n] >= SUPPORT and r[w] >= LEAST_WEIGHT]
         top = max((r[n] for r in keep), default=1)
         return {r["term"]: r[w] * math.sqrt(r[n] / top) for r in keep}
 
