@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .runtime import materialize, partitions
 
 MAX_TOXIC, MAX_CLEAN = 6000, 12000
-MAX_TERMS, MAX_CANDIDATES = 4000, 100_000
 SUPPORT = 2  # distinct toxic texts a term needs
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
@@ -191,12 +190,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     if size is None:  # no labelled document is there
         return Lexicon({}, list(exceptions))
     n_toxic, n_clean = [size["n0"], size["n1"]], [size["b0"], size["b1"]]
-    terms = counts.where("term IS NOT NULL").orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
+    terms = counts.where("term IS NOT NULL")
     terms = terms.withColumn("w", _weight("n", sum(n_toxic), "b", sum(n_clean)))
     for h in (0, 1):
         terms = terms.withColumn(f"w{h}", _weight(f"n{h}", n_toxic[h], f"b{h}", n_clean[h]))
-    terms = terms.where(F.greatest("w", "w0", "w1") >= LEAST_WEIGHT).orderBy(F.desc(F.col("w") * F.log1p("n")), "term").limit(MAX_TERMS)
-    found = terms.collect()  # bounded by the limit
+    qualify = [f"(n{h} >= {SUPPORT} AND w{h} >= {LEAST_WEIGHT})" for h in ("", 0, 1)]
+    found = terms.where(" OR ".join(qualify)).collect()  # bounded by the sample
 
     def lexicon_of(w: str, n: str) -> dict[str, float]:
         """Terms with enough support; the weight falls with the root of the support."""
@@ -207,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     whole, folds = lexicon_of("w", "n"), [lexicon_of("w0", "n0"), lexicon_of("w1", "n1")]
     pairs = rows.mapInArrow(_neighbours(frozenset(whole)), "label int, pair string, c long").groupBy("pair").agg(
         F.sum(F.when(F.col("label") == 0, F.col("c")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("label") == 1, F.col("c")).otherwise(0)).alias("toxic"))
-    pairs = pairs.where("clean >= 3 AND clean >= 10 * toxic").orderBy(F.desc("clean"), "pair").limit(MAX_TERMS)
+    pairs = pairs.where("clean >= 3 AND clean >= 10 * toxic")
     phrases = sorted({fold(p).strip() for p in exceptions} | {r["pair"] for r in pairs.collect()})
     halves = [Lexicon(f, phrases) for f in folds]
 

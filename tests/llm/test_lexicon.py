@@ -17,3 +17,22 @@ def test_copies_do_not_change_the_terms(spark):
     many = lambda d: d.select((F.col("doc_id") * 20).alias("at"), *d.columns[1:]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("doc_id", F.col("at") + F.col("k"))
     copied = toxicity.learn(many(docs), many(labels))  # 400 toxic rows
     assert few.terms and copied.terms == few.terms
+
+
+def test_all_terms_with_support_and_weight_are_kept(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghjkmnopqrstuvwxyz") for _ in range(10)) for _ in range(3000)]
+    texts = [[] for _ in range(40)]
+    for w in words:
+        for t in rng.sample(texts, 3):
+            t.append(w)
+    support = defaultdict(set)
+    for t in texts:
+        for w in t:
+            support[w].add(min(map(toxicity.hash_word, t)))
+    rows = [(i, " ".join(t), 1) for i, t in enumerate(texts)] + [(100 + i, " ".join(f"c{rng.choice('bdfgh')}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(40)), 0) for i in range(400)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    terms = toxicity.learn(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")).terms
+    known = {w for w, s in support.items() if len(s) >= 2}
+    assert len(known) > 2500 and len(terms) > 4000
+    assert known <= set(terms)
