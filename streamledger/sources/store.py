@@ -155,6 +155,17 @@ class LogStore:
         m["parts"].append(self._part("control", self.spark.createDataFrame([row], D.CONTROL), topic=name))
         self._publish(m)
 
+    def _delete_rows(self, name: str, seqs: DataFrame) -> None:
+        """Delete a table of records: control rows with a set of seqs for each block, none of them through the driver."""
+        m = self.manifest()
+        t = self._topic(m, name)
+        m["pos"] += 1
+        rows = seqs.groupBy(F.expr(f"seq DIV {A.BLOCK}").alias("block")).agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
+        none = F.lit(None).cast("string")
+        rows = rows.select(F.lit(m["pos"]).cast("long").alias("pos"), F.lit(name).alias("topic"), none.cast("long").alias("before_seq"), none.alias("match_op"), none.alias("match_value"), F.lit(t["next"]).cast("long").alias("bound_head"), "seqs")
+        m["parts"].append(self._part("control", rows, topic=name))
+        self._publish(m)
+
     def state(self, name: str, now_ms: int) -> DataFrame:
         """Floors with what was observable before, watermarks, count and bytes."""
         m = self.manifest()
@@ -198,14 +209,15 @@ class LogStore:
             raise LedgerError("not_a_queue", name)
         ready = Q.claimable(self.live(name), self.leases(name, now_ms), now_ms)
         if c["max_deliveries"] and c["dead_letter"]:
-            dead = Q.dead_letters(ready, c["max_deliveries"]).limit(10_000)
-            gone = [r[0] for r in dead.select("seq").collect()]
-            if gone:
-                copies = Q.divert(dead, name, c["dead_letter"], 0, now_ms, c["max_deliveries"])
+            dead = Q.dead_letters(ready, c["max_deliveries"])
+            part = self._part("dead", dead, topic=name)  # read twice: what is copied is what is deleted
+            dead = self.spark.read.schema(dead.schema).parquet(f"{self.root}/{part['path']}")
+            copies = Q.divert(dead, name, c["dead_letter"], 0, now_ms, c["max_deliveries"])
+            if not dead.isEmpty():
                 self.append(c["dead_letter"], copies.select(F.col("source_seq").alias("pos"), "node", "tag", "data", "meta"), now_ms)
-                self.delete(name, seqs=gone)
+                self._delete_rows(name, dead.select("seq"))
                 m = self.manifest()
-                ready = ready.where(~F.col("seq").isin(gone))
+                ready = ready.join(dead.select("seq"), "seq", "left_anti")
         taken = Q.claim(ready, node, most, lease_ms or c["lease_ms"], m["next_lease"], now_ms)
         events = taken.select("seq", F.lit("claimed").alias("event"), "node", "lease_id", "deadline_ms", F.lit(None).cast("long").alias("ready_at_ms"), F.lit(now_ms).cast("long").alias("ts_ms"))
         return self._lease_events(m, name, events)
