@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import chunk_count, partitions
+from .runtime import chunk_count, partitions, release, small_batches
 
 _SENT = "b int, c int, n int, body binary"
 
@@ -84,14 +84,17 @@ def exchange(
     each distinct key starts in it; it returns answer columns in the order the values came.
     ``finish(table, answers)`` gets the answers aligned with the chunk's keys and returns the result rows.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     chunks, buckets = chunk_count(docs), partitions(spark)
     dealt = with_chunk(docs.select(*columns), chunks, *key)
     names = list(columns)
 
     def send(k, table):
         keys, values = local(table.select(names))
-        return _messages(k[0].as_py(), keys, values, buckets)
+        out = _messages(k[0].as_py(), keys, values, buckets)
+        del keys, values
+        release()
+        return out
 
     def reduce(k, table):
         parts = [unpack(x) for x in table["body"].to_pylist()]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, partitions
+from .runtime import materialize, partitions, release, small_batches
 from .tokens import tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -94,8 +94,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
             i, k, start, length, crc = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             at = pa.array(i, pa.int64())
             yield pa.RecordBatch.from_arrays([doc_ids.take(at), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
 
 def _pack(capacity: int):

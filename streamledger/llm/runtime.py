@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,24 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """``df``, whose session sends whole texts to Python workers in batches of at most ``rows`` rows (``arrow.maxRecordsPerBatch``).
+
+    Its default of 10,000 texts is tens of megabytes in the executor and again in each worker.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return df
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on for later tasks, and its executor pays for what it keeps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

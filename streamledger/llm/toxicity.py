@@ -21,10 +21,12 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, partitions
+from .runtime import materialize, partitions, small_batches
 
 MAX_TOXIC, MAX_CLEAN = 6000, 12000
 SUPPORT = 2  # distinct toxic texts a term needs
@@ -32,6 +34,8 @@ STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 LEAST_WEIGHT = 2.5
 PADDING = 20.0  # words added to a text's length
+SLICE, SLICE_BYTES = 128, 1 << 20  # texts that a worker holds as Python objects
+PAIRS = 50_000  # distinct pairs that a worker gathers before it sends them
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -91,7 +95,7 @@ class Lexicon:
     def automaton(self):
         a = ahocorasick.Automaton()
         for t, w in self.terms.items():
-            a.add_word(f" {t[1:]}" if t[0] == "^" else f" {t} ", (1, w, len(t) if t[0] == "^" else len(t) + 1))
+            a.add_word(f" {t[1:]}" if t[0] == "^" else f" {t} ", (1, w, len(t) - 1 if t[0] == "^" else len(t) + 1))
         for p in self.exceptions:
             a.add_word(f" {p} ", (0, 0.0, len(p) + 1))
         if len(a):
@@ -100,7 +104,7 @@ class Lexicon:
 
 
 def weigh(automaton, folded: str) -> float:
-    """Sum of the weights; each word counts once, with the heaviest term that hits it, unless an exception phrase covers it."""
+    """Sum of the weights; each word counts once, with the heaviest term that hits it, unless an exception phrase covers it. Linear in hits."""
     if not len(automaton):
         return 0.0
     hits: dict[int, float] = {}
@@ -112,9 +116,15 @@ def weigh(automaton, folded: str) -> float:
                 hits[at] = w
         else:
             covered.append((at, end))
-    if covered:
-        hits = {i: w for i, w in hits.items() if not any(a <= i < b for a, b in covered)}
-    return sum(hits[i] for i in sorted(hits))
+    covered.sort()
+    total, span, upto = 0.0, 0, -1
+    for i in sorted(hits):
+        while span < len(covered) and covered[span][0] <= i:
+            upto = max(upto, covered[span][1])
+            span += 1
+        if i >= upto:
+            total += hits[i]
+    return total
 
 
 def _density(total: float, folded: str) -> float:
@@ -126,18 +136,33 @@ def _logistic(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def _counts(batches):
-    """For each text its min-hash, its label and its features; a null feature stands for the text itself."""
+def _slices(batches, column: str):
+    """Batches of at most ``SLICE`` rows and about ``SLICE_BYTES`` of text (a longer text by itself): what a worker holds as Python objects at a time."""
     for t in batches:
-        rows = [sorted(set(fold(x).split())) for x in t.column("text").to_pylist()]
-        sig = [min((hash_word(w) for w in r), default=0) for r in rows]
-        features = pa.array([[None, *sorted(_features(set(r)))] for r in rows], pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), t.column("toxic"), features], ["sig", "toxic", "features"])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(t.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < t.num_rows:
+            b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SLICE_BYTES, "right"))
+            b = min(max(a + 1, b), a + SLICE)
+            yield t.slice(a, b - a)
+            a = b
 
 
-def hash_word(w: str) -> int:
-    import xxhash
+def _counts(batches):
+    """Rows (min-hash, label, feature) of each text; a null feature stands for the text itself."""
+    for t in _slices(batches, "text"):
+        sig, of, features = [], [], []
+        for i, x in enumerate(t.column("text").to_pylist()):
+            words = set(fold(x).split())
+            sig.append(min(map(hash_word, words), default=0))
+            own = [None, *sorted(_features(words))]
+            features += own
+            of += [i] * len(own)
+        of = pa.array(of, pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()).take(of), t.column("toxic").take(of), pa.array(features, pa.string())], ["sig", "toxic", "term"])
+
 
+def hash_word(w: str) -> int:
     return xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) >> 1
 
 
@@ -149,18 +174,25 @@ def _weight(support: str, n_toxic: int, against: str, n_clean: int):
 def _neighbours(words_wanted: frozenset[str]):
     """Each lexicon word with the word before and after it, by label."""
 
+    def send(pairs: Counter):
+        a, b, c = zip(*((label, p, n) for (label, p), n in pairs.items()), strict=True) if pairs else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.string()), pa.array(c, pa.int64())], ["label", "pair", "c"])
+
     def run(batches):
         pairs = Counter()
-        for t in batches:
+        for t in _slices(batches, "text"):
             for text, label in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
                 words = fold(text).split()
                 for i, w in enumerate(words):
                     if w in words_wanted:
-                        for p in words[i - 1 : i + 1] if i else [], words[i : i + 2]:
-                            if len(p) == 2:
-                                pairs[(label, " ".join(p))] += 1
-        a, b, c = zip(*((label, p, n) for (label, p), n in pairs.items()), strict=True) if pairs else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.string()), pa.array(c, pa.int64())], ["label", "pair", "c"])
+                        if i:
+                            pairs[(label, f"{words[i - 1]} {w}")] += 1
+                        if i + 1 < len(words):
+                            pairs[(label, f"{w} {words[i + 1]}")] += 1
+            if len(pairs) > PAIRS:
+                yield send(pairs)
+                pairs = Counter()
+        yield send(pairs)
 
     return run
 
@@ -176,12 +208,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     sample = [(r[0], r[1]) for r in pick(1, max_toxic).union(pick(0, max_clean)).collect()]  # bounded by the two limits
     if not sample:
         return Lexicon({}, list(exceptions))
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     ids = F.broadcast(spark.createDataFrame(sample, "doc_id long, toxic int"))
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").repartition(partitions(spark)), "toxic-sample")
     # distinct min-hashes of each term by label and half; those of the null term are the numbers of texts
-    seen = rows.mapInArrow(_counts, "sig long, toxic int, features array<string>").select("sig", "toxic", F.explode("features").alias("term"))
-    seen = seen.repartition("term").groupBy("term", "sig", "toxic").agg(F.lit(1).alias("one"))
+    seen = rows.mapInArrow(_counts, "sig long, toxic int, term string").repartition("term").groupBy("term", "sig", "toxic").agg(F.lit(1).alias("one"))
     number = lambda v, h: F.sum(F.when((F.col("toxic") == v) & (F.col("sig") % 2 == h), 1).otherwise(0))
     counts = seen.groupBy("term").agg(*[number(v, h).alias(f"{c}{h}") for v, c in ((1, "n"), (0, "b")) for h in (0, 1)])
     counts = counts.withColumns({"n": F.col("n0") + F.col("n1"), "b": F.col("b0") + F.col("b1")})
@@ -212,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
 
     def densities(batches):
         machines = [h.automaton() for h in halves]
-        for t in batches:
+        for t in _slices(batches, "text"):
             x, y = [], []
             for text, label in zip(t.column("text").to_pylist(), t.column("toxic").to_pylist(), strict=True):
                 folded = fold(text)
@@ -246,20 +277,22 @@ def _curve(points: list[tuple[float, int]]) -> tuple[float, float]:
 def score(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` (default doc_id) with score (0 to 1) and predicted (1 from 0.7 up).
 
-    A null, empty or wordless text scores the curve's lowest value, near 0. Rows may repeat; each is scored by itself.
+    A null, empty or wordless text scores the curve's lowest value, near 0. A very long text is scored whole, in time linear in its
+    length. Rows may repeat; each is scored by itself. An empty table gives no rows, an empty lexicon the lowest score everywhere.
     """
     keep = keep or ("doc_id",)
+    read = "text" if "text" in keep else "_text"
 
     def run(batches):
         machine = lexicon.automaton()
-        for t in batches:
+        for t in _slices(batches, read):
             out = []
-            for text in t.column("_text").to_pylist():
+            for text in t.column(read).to_pylist():
                 folded = fold(text)
                 out.append(_logistic(lexicon.slope * (_density(weigh(machine, folded), folded) - lexicon.middle)))
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in keep), pa.array(out, pa.float64()), pa.array([int(x >= THRESHOLD) for x in out], pa.int32())], [*keep, "_score", "_predicted"])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = small_batches(docs.select(*keep, *([] if read == "text" else [F.col("text").alias("_text")])))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.select(*keep).dtypes) + ", _score double, _predicted int"
     return rows.mapInArrow(run, schema)
 

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+RANGE = 1 << 18  # bytes of the documents that are worked on at a time
 SEPARATORS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
@@ -33,13 +34,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INV)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers
+    """Powers of the base and of its inverse, ``n`` at least. Those for a range of documents are kept, those for a longer text are not."""
+    if len(_powers[0]) >= n:
+        return _powers
+    size = max(RANGE + 1, n)
+    tables = []
+    for base in (_BASE, _INV):
+        table = np.full(size, base, np.uint64)
+        table[0] = 1
+        tables.append(np.multiply.accumulate(table))
+    if size == RANGE + 1:
+        _powers[:] = tables
+    return tables
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +60,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def batches(offsets: np.ndarray, limit: int = 1 << 20):
+def batches(offsets: np.ndarray, limit: int = RANGE):
     """Ranges of documents of about ``limit`` bytes; a longer document makes a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
