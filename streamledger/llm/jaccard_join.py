@@ -7,11 +7,13 @@
 2. Equal sets collapse to their smallest document.
 3. Similar documents form groups: documents with the same min-hash are held against the most central of them (the one whose shingles are most frequent), and those
    that link with it carry its label. Three min-hashes are tried in turn on what is left without a label. A label's
-   documents, cut into pieces of bounded size, are the groups; each group has the union of its members' shingles.
-4. A document opens a group of another label only if they share a prefix shingle, their sizes and the shingle's
-   place in the order allow it (positional filter), and the shingles it has in the group's union reach what a link needs. Then it is compared with each member.
-5. Documents of one label are compared with each other, in cells of two blocks of bounded size: products of 0/1 matrices.
-6. Links give connected components; a document's number of links is summed over cells, weighted by the copies of its partners.
+   documents, cut into pieces of bounded size, are the groups; the union of a group's shingles is stored once.
+4. The matrix of groups by tokens is looked up by prefix: a document asks for a group of another label only if they share a prefix
+   shingle, and their sizes and the shingle's place in the order allow a link (positional filter). What it asks for is held against the
+   stored unions: the shingles it has in the union bound its overlap with every member.
+5. Only groups whose bound reaches what a link needs are opened: their members are read, and the document is compared with each.
+6. Documents of one label are compared with each other, in cells of two blocks of bounded size: products of 0/1 matrices.
+7. Links give connected components; a document's number of links is summed over cells, weighted by the copies of its partners.
 
 Two documents link when ``100 * |A n B| >= percent * |A u B|``. No cap on partners or candidates.
 Exact copies cost one comparison a copy, not one a pair. Cells return numbers of links, not pairs.
@@ -24,6 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,7 @@ _SEEDS = [np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xA54FF
 GROUP = 64  # members of a group
 QUERIES = 256  # documents that one task opens a group for
 BLOCK, BLOCK_BYTES = 512, 8 << 20  # documents of a label, and bytes of their shingles, in a block
+_UNIONS = pa.schema([("label", pa.int64()), ("piece", pa.int64()), ("least", pa.int64()), ("union", pa.binary())])
 _DEGREES = "id long, degree long, low long"
 
 
@@ -123,6 +127,31 @@ def _explode_prefix(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])), pa.array(rest), *(repeat(c) for c in ("doc_id", "n_shingles", "label", "size", "piece"))], ["token", "rest", "doc_id", "n_shingles", "label", "size", "piece"])
 
 
+def _union(key, members):
+    """A group's stored row: the union of its members' shingles, sorted, and its least and most shingles."""
+    union = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in members["tokens"].to_pylist()]))
+    return pa.table({"label": [key[0].as_py()], "piece": [key[1].as_py()], "least": [pc.min(members["n_shingles"]).as_py()], "union": pa.array([union.tobytes()], pa.binary())}, _UNIONS)
+
+
+def _bound(percent: int):
+    """The queries whose overlap with a group's union reaches what a link with some member needs, with that bound."""
+
+    def check(groups, queries):
+        found: list[tuple] = []
+        for label, piece, least, union in zip(*(groups[c].to_pylist() for c in ("label", "piece", "least", "union")), strict=True):
+            union = np.frombuffer(union, np.uint64)
+            for q, n, x in zip(*(queries[c].to_pylist() for c in ("query", "query_n", "query_tokens")), strict=True):
+                x = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(union, x), len(union) - 1)
+                bound = int((union[at] == x).sum())
+                if 100 * bound >= percent * max(n, least):
+                    found.append((label, piece, q, bound))
+        columns = zip(*found, strict=True) if found else ((), (), (), ())
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("label", "piece", "query", "bound"), columns, strict=True)})
+
+    return check
+
+
 def _open_groups(percent: int):
     """For each query its links with members of the group and one of them (all members are connected), and for each member its links with queries."""
 
@@ -132,14 +161,8 @@ def _open_groups(percent: int):
         if members.num_rows and queries.num_rows:
             ids, sizes, copies = (members[c].to_pylist() for c in ("doc_id", "n_shingles", "c"))
             each = [np.frombuffer(x, np.uint64) for x in members["tokens"].to_pylist()]
-            union = np.unique(np.concatenate(each))
-            for q, n, cq, x in zip(*(queries[c].to_pylist() for c in ("query", "query_n", "query_c", "query_tokens")), strict=True):
+            for q, n, cq, bound, x in zip(*(queries[c].to_pylist() for c in ("query", "query_n", "query_c", "bound", "query_tokens")), strict=True):
                 x = np.frombuffer(x, np.uint64)
-                at = np.searchsorted(union, x)
-                at[at == len(union)] = 0
-                bound = int((union[at] == x).sum())
-                if 100 * bound < percent * max(n, min(sizes)):
-                    continue
                 for m, ny, cm, y in zip(ids, sizes, copies, each, strict=True):
                     if m != q and 100 * bound >= percent * max(n, ny) and _links(x, n, y, ny, percent):
                         degree[q] += cm
@@ -193,7 +216,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
     Texts are lower-cased in A-Z. A null or blank text has no shingles and links with nothing; a text of fewer than ``words``
     words has one shingle, all of it. doc_id has to be unique: rows that repeat one are judged one by one
-    and share its component and the largest n_links. A row without doc_id is returned with a null component and no link. Other columns are ignored.
+    and share its component and the largest n_links. A row without doc_id is returned with a null component and no link. A very long text is
+    one set, whole. Equal sets count one link for each copy, the smallest doc_id stands for them; ties of central leaders go to the smallest doc_id.
+    An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(_sets(docs, words, percent), "sets")
@@ -235,21 +260,34 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     fits += f" AND {100 + percent} * least(rest, group_rest) >= {percent} * (n_shingles + least)"
     pairs = materialize(queries.join(groups, "token").where(fits).select("doc_id", "label", "piece").distinct(), "candidates")
 
-    salts = pairs.groupBy("label", "piece").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("salts"))
-    asked = pairs.join(salts, ["label", "piece"]).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    unions = materialize(grouped.groupBy("label", "piece").applyInArrow(_union, "label long, piece long, least long, union binary"), "unions")
     sought = grouped.select(F.col("doc_id").alias("query"), F.col("n_shingles").alias("query_n"), F.col("c").alias("query_c"), F.col("tokens").alias("query_tokens"))
-    asked = asked.select(F.col("label").alias("l"), F.col("piece").alias("p"), F.col("salt").alias("s"), F.col("doc_id").alias("query")).join(sought, "query")
-    held = grouped.join(salts, ["label", "piece"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("label", "piece", "salt", "doc_id", "n_shingles", "c", "tokens")
-    opened = held.groupBy("label", "piece", "salt").cogroup(asked.groupBy("l", "p", "s")).applyInArrow(_open_groups(percent), _DEGREES)
+
+    def salted(asked: DataFrame, held: DataFrame):
+        """Queries and the groups they ask for, a group that many ask for once for each ``QUERIES`` of them."""
+        salts = asked.groupBy("label", "piece").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("salts"))
+        asked = asked.join(salts, ["label", "piece"]).withColumn("salt", F.pmod(F.xxhash64("query"), F.col("salts"))).withColumnsRenamed({"label": "l", "piece": "p", "salt": "s"}).drop("salts").join(sought, "query")
+        held = held.join(salts, ["label", "piece"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        return held.repartition("label", "piece", "salt").groupBy("label", "piece", "salt").cogroup(asked.repartition("l", "p", "s").groupBy("l", "p", "s"))
+
+    asked = pairs.select(F.col("doc_id").alias("query"), "label", "piece")
+    passed = materialize(salted(asked, unions).applyInArrow(_bound(percent), "label long, piece long, query long, bound long"), "passed")
+    opened = salted(passed, grouped.select("label", "piece", "doc_id", "n_shingles", "c", "tokens")).applyInArrow(_open_groups(percent), _DEGREES)
 
     several = grouped.where("size > 1")
     blocks = several.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("tokens")) / BLOCK_BYTES)).cast("long").alias("blocks"))
     inside = several.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     inside = inside.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "n_shingles", "c", "tokens")
-    within = inside.groupBy("label", "lo", "hi").applyInArrow(_within(percent), _DEGREES)
+    # dealt by cell, not by label as the join above is: a label may hold a third of all documents
+    within = inside.repartition("label", "lo", "hi").groupBy("label", "lo", "hi").applyInArrow(_within(percent), _DEGREES)
 
     links = materialize(opened.union(within), "links")
-    whole = components(attached.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).union(links.where("low IS NOT NULL").select("id", "low")))
+    # rows that repeat a doc_id are one node, whatever their texts: it is tied to what each is a copy of
+    owned = sets.where("copy_of IS NOT NULL").select(F.col("doc_id").alias("a"), "copy_of")
+    repeated = owned.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    ties = owned.union(copies.select(F.col("chunk_rep").alias("a"), "rep")).join(repeated, "a", "left_semi")
+    edges = attached.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).union(links.where("low IS NOT NULL").select("id", "low")).union(ties)
+    whole = components(edges)
     degrees = links.groupBy(F.col("id").alias("linked")).agg(F.sum("degree").alias("degree"))
 
     of = copies.join(whole, copies.rep == whole.id, "left").join(degrees, copies.rep == degrees.linked, "left")
