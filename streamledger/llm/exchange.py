@@ -20,8 +20,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import chunk_count, partitions, release, small_batches
+from .runtime import partitions, release, small_batches, text_bytes
 
+CHUNK, BUCKET = 32 << 20, 64 << 20  # bytes of text that a chunk holds, and that a bucket's keys come from
 _SENT = "b int, c int, n int, body binary"
 
 
@@ -85,7 +86,8 @@ def exchange(
     ``finish(table, answers)`` gets the answers aligned with the chunk's keys and returns the result rows.
     """
     spark = small_batches(docs).sparkSession
-    chunks, buckets = chunk_count(docs), partitions(spark)
+    size = text_bytes(docs)
+    chunks, buckets = max(2 * partitions(spark), -(-size // CHUNK)), max(partitions(spark), -(-size // BUCKET))
     dealt = with_chunk(docs.select(*columns), chunks, *key)
     names = list(columns)
 
@@ -107,9 +109,12 @@ def exchange(
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         del keys, ordered
         answers = combine(starts, order, values)
+        del values, order, starts
         cut = np.concatenate([[0], np.cumsum(sizes)])
         body = [pack(np.zeros(0, np.uint64), *(x[cut[i] : cut[i + 1]] for x in answers)) for i in range(len(sizes))]
         b = k[0].as_py()
+        del answers
+        release()
         return pa.table({"b": pa.array([b] * len(sizes), pa.int32()), "c": pa.array(chunk_ids, pa.int32()), "n": pa.array(sizes, pa.int32()), "body": pa.array(body, pa.binary())})
 
     def meet(table, sent):

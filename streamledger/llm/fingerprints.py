@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize, partitions, plan_bytes
+from .runtime import materialize, partitions, text_bytes
 
 WORDS = 5
 SCALE = 4  # one hash in four
@@ -73,7 +73,7 @@ def with_next(docs: DataFrame, target: int = 16 << 20) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    n = min(MOST_RANGES, max(partitions(docs.sparkSession), plan_bytes(docs) // target))
+    n = min(MOST_RANGES, max(partitions(docs.sparkSession), text_bytes(docs) // target))
     edges = []
     if n > 1:
         found = rows.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10000)).first()[0]

@@ -64,16 +64,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes that the plan reads: the files of its scans; where a source doesn't know its size, the text is measured."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    if max(sizes, default=0) < 1 << 50:
-        return sum(sizes)
-    return df.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-
-
-def chunk_count(df: DataFrame, target: int = 32 << 20) -> int:
-    """How many chunks documents are dealt into: at least two a shuffle partition, at most ``target`` bytes each."""
-    return max(2 * partitions(df.sparkSession), -(-plan_bytes(df) // target))
-
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of all texts, and a little for each row: what tasks have to hold, whatever the files compress to."""
+    return df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16), F.lit(0))).first()[0]

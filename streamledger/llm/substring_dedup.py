@@ -7,7 +7,8 @@ intervals of words, which are removed. Windows are judged on the input, not on w
 
 Defined results: a null text is empty; a document of fewer than ``window`` words keeps all; rows that share a
 doc_id count as one document for the rule (they never cut each other); a null doc_id counts as larger than
-all others; other columns of the input are ignored; an empty table gives an empty table.
+all others; a very long text is read whole, its windows are a few arrays; repeated rows are cut alike; other columns of the input are
+ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -111,10 +112,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, row: Column | Non
         spans, of = np.concatenate([np.zeros((0, 2), np.int64), *span_rows]), np.concatenate([np.zeros(0, np.int64), *span_of])
         struct = pa.StructArray.from_arrays([pa.array(spans[:, 0]), pa.array(spans[:, 1])], ["start", "stop"])
         span_offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
-        text_offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        text_offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         body = np.concatenate([np.zeros(0, np.uint8), *pieces])
-        text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(text_offsets.tobytes()), pa.py_buffer(body.tobytes())])
+        text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(text_offsets.tobytes()), pa.py_buffer(body.tobytes())])
         columns = [table["doc_id"].combine_chunks(), pa.array(n_words), pa.array(n_removed), pa.ListArray.from_arrays(pa.array(span_offsets), struct), text]
+        columns[-1] = text.cast(pa.string())  # raises where a chunk's kept text passes 2 GiB; chunks are cut to about 32 MB
         out = pa.table(dict(zip(["doc_id", "n_words", "n_removed", "spans", "kept_text"], columns, strict=True)))
         for c in ["text", *extra] if extra else []:
             out = out.append_column(c, table[c])
