@@ -12,7 +12,6 @@ number of histogram cells. The plan has a row a pattern, so it is broadcast and
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
@@ -47,66 +46,81 @@ def share_targets(sizes: dict, weights: dict, factor: float = 1.5, cap: float =
 
 
 def min_cost_flow(patterns: dict[tuple, int], targets: dict, max_repeats: int) -> dict[tuple, int]:
-    """Tokens each pattern gives, by successive shortest paths over pass, pattern and source.
+    """Tokens each pattern gives, by least-cost flow over pass, pattern and source.
 
-    The k-th pass of a pattern has the pattern's size as capacity and costs k - 1 a token. What the patterns of a
-    source can't give stays unfilled.
+    The k-th pass of a pattern has the pattern's size as capacity and costs k - 1 a token. Nothing else costs, so a shortest
+    path costs as much as the pass it starts with: pass by pass, blocking flows fill what the passes so far can
+    give, and no augmentation takes back what a pattern gives. A source all of whose patterns are its own
+    needs no flow. What the patterns of a source can't give stays unfilled.
     """
-    names = ["start", "end"]
-    number: dict = {}
-
-    def node(key) -> int:
-        if key not in number:
-            number[key] = len(names)
-            names.append(key)
-        return number[key]
-
-    graph: dict[int, list[list]] = defaultdict(list)
-
-    def edge(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    for p, size in sorted(patterns.items(), key=repr):
-        for k in range(max_repeats):
-            edge(0, node(("pattern", p)), size, k)
+    room = {s: round(t) for s, t in targets.items()}
+    gives = dict.fromkeys(patterns, 0)
+    shared = {s for p in patterns if len(p) > 1 for s in p}
+    overlapping = sorted((p for p in patterns if any(s in shared for s in p)), key=repr)
+    for p, size in patterns.items():
+        if len(p) == 1 and p[0] not in shared:
+            gives[p] = min(size * max_repeats, room.get(p[0], 0))
+    if not overlapping:
+        return gives
+    sources = {s: len(overlapping) + 2 + i for i, s in enumerate(sorted({s for p in overlapping for s in p}, key=repr))}
+    edges: list[list[int]] = [[] for _ in range(len(overlapping) + 2 + len(sources))]
+    to: list[int] = []
+    cap: list[int] = []
+
+    def edge(a: int, b: int, size: int) -> int:
+        edges[a].append(len(to))
+        edges[b].append(len(to) + 1)
+        to.extend((b, a))
+        cap.extend((size, 0))
+        return len(to) - 2
+
+    start = [edge(0, i + 2, 0) for i in range(len(overlapping))]
+    for i, p in enumerate(overlapping):
         for s in p:
-            edge(node(("pattern", p)), node(("source", s)), size * max_repeats, 0)
-    for s, t in targets.items():
-        edge(node(("source", s)), 1, round(t), 0)
-    level = [0] * len(names)
+            edge(i + 2, sources[s], patterns[p] * max_repeats)
+    for s, node in sources.items():
+        edge(node, 1, room.get(s, 0))
+    for _ in range(max_repeats):
+        for e, p in zip(start, overlapping, strict=True):
+            cap[e] += patterns[p]
+        _fill(edges, to, cap)
+    return gives | {p: cap[e + 1] for e, p in zip(start, overlapping, strict=True)}
+
+
+def _fill(edges: list[list[int]], to: list[int], cap: list[int]) -> None:
+    """Augment the flow from node 0 to node 1 to the most there is, by blocking flows on levels. Edge e runs back as e ^ 1."""
     while True:
-        far = [float("inf")] * len(names)
-        far[0], back = 0, {}
-        queue = [(0, 0)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > far[a]:
-                continue
-            for i, (b, room, cost, _) in enumerate(graph[a]):
-                if room > 0 and d + cost + level[a] - level[b] < far[b]:
-                    far[b] = d + cost + level[a] - level[b]
-                    back[b] = (a, i)
-                    heapq.heappush(queue, (far[b], b))
-        if far[1] == float("inf"):
-            break
-        level = [x + f if f < float("inf") else x for x, f in zip(level, far, strict=True)]
-        push, b = float("inf"), 1
-        while b:
-            a, i = back[b]
-            push, b = min(push, graph[a][i][1]), a
-        b = 1
-        while b:
-            a, i = back[b]
-            graph[a][i][1] -= push
-            graph[b][graph[a][i][3]][1] += push
-            b = a
-    gives = dict.fromkeys(patterns, 0)
-    for p in patterns:
-        a = number.get(("pattern", p))
-        if a is not None:
-            gives[p] = sum(graph[b][back][1] for b, _, cost, back in graph[a] if names[b] != "start" and names[b][0] == "source")
-    return gives
+        level = [-1] * len(edges)
+        level[0], queue = 0, [0]
+        for a in queue:
+            for e in edges[a]:
+                if cap[e] and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[1] < 0:
+            return
+        turn = [0] * len(edges)
+        while True:
+            path: list[int] = []
+            at = 0
+            while at != 1:
+                own = edges[at]
+                while turn[at] < len(own) and not (cap[own[turn[at]]] and level[to[own[turn[at]]]] == level[at] + 1):
+                    turn[at] += 1
+                if turn[at] < len(own):
+                    path.append(own[turn[at]])
+                    at = to[path[-1]]
+                elif path:
+                    at = to[path.pop() ^ 1]
+                    turn[at] += 1
+                else:
+                    break
+            if at != 1:
+                break
+            push = min(cap[e] for e in path)
+            for e in path:
+                cap[e] -= push
+                cap[e ^ 1] += push
 
 
 def _cuts(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -160,12 +174,13 @@ def mix(docs: DataFrame, members: Column, targets: dict | None = None, weigh=Non
 
     ``members`` is an array of source names, in which a document may be in several. ``targets`` maps a source to its
     tokens; or ``weigh(sizes)`` makes them from the sources' sizes. A document of no source has the source None.
-    A null text has size 0 and is never repeated. Rows that repeat a doc_id are selected together. An empty table gives no rows.
+    A null text has size 0 and is never repeated; a very long one counts whole. Rows that repeat a doc_id, or share the hash of one, are selected together.
+    Sources of equal weight are told apart by name. An empty table gives no rows. ``keep`` may name any columns but the three of the result.
     """
     pattern = F.coalesce(F.array_sort(F.array_distinct(members)), F.array().cast("array<string>"))
     pattern = F.when(F.size(pattern) == 0, F.array(F.lit(None).cast("string"))).otherwise(pattern)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select(*keep, word_count().alias("_size"), pattern.alias("_members"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 24).alias("hash"))
+    rows = docs.select(F.struct(*keep).alias("_keep"), word_count().alias("_size"), pattern.alias("_members"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 24).alias("hash"))
     rows = materialize(rows, "sizes")
     found = rows.groupBy("_members").agg(F.sum("_size").alias("size")).orderBy("_members").limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -190,7 +205,7 @@ def mix(docs: DataFrame, members: Column, targets: dict | None = None, weigh=Non
     out = tagged.join(F.broadcast(plan), "pattern").join(picked, ["pattern", "hash"], "left")
     once_more = (F.col("hash") <= F.col("cut")) | F.col("extra").isNotNull()
     out = out.withColumn("_copies", F.when(F.col("_size") == 0, 0).otherwise(F.col("whole") + once_more.cast("long")))
-    return out.select(*keep, "_size", "_members", "_copies"), {"targets": goal, "sizes": dict(sizes), "gives": gives}
+    return out.select("_keep.*", "_size", "_members", "_copies"), {"targets": goal, "sizes": dict(sizes), "gives": gives}
 
 
 def cycle_weights(sizes: dict, weights: tuple[int, ...] = (5, 2, 1)) -> dict:
