@@ -32,12 +32,13 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", size: Co
     ``size`` is a row's bytes, by default those of its text in UTF-8 (null: 0). A row over the limit has a shard of its own kind: its
     bucket can't fit and ends at full depth. Rows of one key share all bits; if these alone exceed the limit, they
     go to parts of the full-depth bucket, filled in order of size, each within the limit unless one row exceeds it.
-    A null key hashes as the empty text. An empty table gives no rows.
+    A null key hashes as the empty text. An empty table gives no rows. A result's column has an underscore before its name where
+    ``keep`` has one of that name.
     """
     if limit < 1:
         raise ValueError("limit has to be positive")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") if size is None else size
-    rows = docs.select(*keep, _bits(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_bits"), size.alias("_bytes"))
+    rows = docs.select(F.struct(*keep).alias("_keep"), _bits(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("_bits"), size.alias("_bytes"))
     pending = materialize(rows, "shard-rows")
     total = pending.agg(F.sum("_bytes")).first()[0] or 0
     start, step = 0, min(24, max(8, (-(-total // limit)).bit_length() + 4))
@@ -74,7 +75,8 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", size: Co
         out = out.unionByName(p)
     out = out.withColumn("prefix", F.expr(f"CASE WHEN depth = 0 THEN 0L ELSE shiftright(_bits, {DEPTH} - depth) END"))
     name = F.concat_ws("-", F.lpad(F.col("depth").cast("string"), 2, "0"), F.lower(F.hex("prefix")), F.col("part").cast("string"))
-    return out.select(*keep, F.col("_bytes").alias("bytes"), "depth", "prefix", "part", name.alias("shard"))
+    out = out.select("_keep", F.col("_bytes").alias("bytes"), "depth", "prefix", "part", name.alias("shard"))
+    return out.select("_keep.*", *(F.col(c).alias(f"_{c}" if c in keep else c) for c in out.columns[1:]))
 
 
 SHARD_BYTES = 1 << 20
