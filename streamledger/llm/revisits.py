@@ -59,7 +59,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     digest (of the payload) and body. Full responses have status 200 and a time. outcome: 'resolved'; 'unchecked' (resolved, but
     the revisit has no validator); 'changed' (ETag, else Last-Modified, else digest disagrees: no content); 'no_capture' (no
     earlier full response, or no url or time). ETags are compared weakly; a validator that only the revisit has
-    disagrees. Of responses at one time the greatest record_id counts. Rows that repeat are resolved one by one.
+    disagrees. Of responses at one time the greatest record_id counts. Rows that repeat are resolved one by one. Bodies of any length come
+    whole. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows = records.where("kind = 'response' AND status = 200 AND ts IS NOT NULL OR kind = 'revisit'").select(
         "record_id", F.col("kind") == "response", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), header_map(F.col("headers")).alias("headers"), "digest", "body"
@@ -70,16 +71,18 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     counts = materialize(rows.groupBy("url_key").agg(F.count("*").alias("n")), "url-counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > max(HOT_LEAST, total // 1000)).select("url_key", F.lit(True).alias("hot"))  # under 1000 rows
-    if hot.take(1):
-        found = rows.select(F.percentile_approx("ts", [i / RANGES for i in range(1, RANGES)], 10000)).first()[0]
-        bounds = F.array(*[F.lit(x) for x in sorted(set(found))])
-        rows = rows.join(F.broadcast(hot), "url_key", "left").withColumn("range", F.when(F.col("hot"), F.size(F.filter(bounds, lambda x: x < F.col("ts")))).otherwise(0)).drop("hot")
+    hot_rows = bool(hot.take(1))
+    if hot_rows:  # the times at which each hot url is cut are its own: a crawl may visit it in one burst
+        at = F.percentile_approx("ts", [i / RANGES for i in range(1, RANGES)], 10000).alias("cuts")
+        cuts = materialize(rows.join(F.broadcast(hot), "url_key").groupBy("url_key").agg(at), "url-cuts")
+        before = F.filter(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda x: x < F.col("ts"))
+        rows = rows.join(F.broadcast(cuts), "url_key", "left").withColumn("range", F.size(before)).drop("cuts")
     else:
         rows = rows.withColumn("range", F.lit(0))
     answer = F.struct("record_id", "headers", "digest", "body")
     window = Window.partitionBy("url_key", "range").orderBy("ts", "full", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     met = rows.withColumn("found", F.last(F.when(F.col("full"), answer), ignorenulls=True).over(window)).where("NOT full")
-    if hot.take(1):
+    if hot_rows:
         split = rows.where("full").join(F.broadcast(hot.select("url_key")), "url_key")
         heads = split.groupBy("url_key", "range").agg(F.max_by(answer, F.struct("ts", "record_id")).alias("last"))
         every = met.select("url_key", "range").distinct().join(F.broadcast(hot.select("url_key")), "url_key")
