@@ -111,7 +111,7 @@ def _join(threshold: float):
 
 
 def _cosine(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, np.float64), np.frombuffer(b, np.float64)
+    x, y = (v / np.abs(v).max() for v in (np.frombuffer(a, np.float64), np.frombuffer(b, np.float64)))
     dot = lambda u, v: math.fsum((u * v).tolist())
     return dot(x, y) / math.sqrt(dot(x, x)) / math.sqrt(dot(y, y))
 
@@ -121,7 +121,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
 
     Rows without label or vec_id, and null, empty or zero vectors and those with a null, NaN or infinite component link with nothing;
     so do vectors of different lengths. Rows that repeat a vec_id count as vectors of their own in n_links and share
-    their component. Without vec_id the component is null and kept false. Other columns are ignored.
+    their component. Without vec_id the component is null and kept false. A cosine at the threshold itself is computed anew, exactly rounded.
+    Very long vectors are compared whole. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))
@@ -145,6 +146,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     pivots = pivots.select(F.col("space").alias("pivot_space"), "pivot", F.col("v").alias("pv"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("pivot_salt"))
     salted = packed.join(spaces.select("space", "salts"), "space").withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("salts")).cast("int"))
     radius = math.sqrt(2 - 2 * threshold)
+    # dealt by all keys, not by space as the joins above are: a label may hold a third of all vectors
+    salted, pivots = salted.repartition("space", "salt"), pivots.repartition("pivot_space", "pivot_salt")
     cells = salted.groupBy("space", "salt").cogroup(pivots.groupBy("pivot_space", "pivot_salt")).applyInArrow(_assign(radius), "space string, cell int, home boolean, rep long, c long, v binary")
     cells = materialize(cells, "cells")
 
@@ -153,6 +156,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     turn = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = both.where("home").select("space", "cell", "rep", "c", "v", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("hb")).cast("int").alias("i"), turn("rb").alias("j"))
     other = both.select(F.col("space").alias("space_b"), F.col("cell").alias("cell_b"), F.col("rep").alias("rep_b"), F.col("c").alias("c_b"), F.col("v").alias("v_b"), F.col("home").alias("home_b"), F.pmod(F.xxhash64("rep", F.lit(3)), F.col("rb")).cast("int").alias("j_b"), turn("hb").alias("i_b"))
+    own, other = own.repartition("space", "cell", "i", "j"), other.repartition("space_b", "cell_b", "i_b", "j_b")
     links = own.groupBy("space", "cell", "i", "j").cogroup(other.groupBy("space_b", "cell_b", "i_b", "j_b")).applyInArrow(_join(threshold), "rep long, degree long, low long")
     links = materialize(links, "links")
     degrees = links.groupBy("rep").agg(F.sum("degree").alias("degree"))
