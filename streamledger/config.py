@@ -9,7 +9,7 @@ MAX_TAG_BYTES, MAX_NODE_BYTES, MAX_KEY_BYTES = 256, 128, 256
 DIFF_LIMIT, DIFF_LIMIT_MAX = 256, 1000
 BATCH_BYTES, BATCH_BYTES_MAX = 1 << 20, 8 << 20
 PAGE_LIMIT, PAGE_LIMIT_MAX = 100, 1000
-MAX_WATCH_TOPICS = 256
+MAX_WATCH_LOGS = 256
 MAX_HOPS = 8
 ROUTER_BATCH = 1024
 CLAIM_MAX = 1000

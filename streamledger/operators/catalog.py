@@ -54,7 +54,7 @@ def list_page(names: DataFrame, after: str = "", prefix: str = "", limit: int =
 
 
 def delete_cascade(routers: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Routers that go with the ``dropped`` topics (topic): those that start or end there."""
+    """Routers that go with the ``dropped`` logs (topic): those that start or end there."""
     a = routers.join(dropped, routers.source == dropped.topic, "left_semi")
     b = routers.join(dropped, routers.dest == dropped.topic, "left_semi")
     return a.union(b).distinct()
@@ -66,10 +66,10 @@ def check_delete(count: int, if_empty: bool) -> None:
 
 
 def metrics_by_class(log: DataFrame, configs: DataFrame) -> DataFrame:
-    """Topics, records and bytes by class (``configs``: topic, class)."""
+    """Logs, records and bytes by class (``configs``: topic, class)."""
     per = log.groupBy("topic").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
     rows = configs.join(per, "topic", "left")
-    return rows.groupBy("class").agg(F.count("*").alias("topics"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("records"), F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("bytes"))
+    return rows.groupBy("class").agg(F.count("*").alias("logs"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("records"), F.coalesce(F.sum("b"), F.lit(0)).cast("long").alias("bytes"))
 
 
 def latency_histogram(observed: DataFrame, column: str) -> DataFrame:

@@ -47,7 +47,7 @@ def diff_cursor(log: DataFrame, from_seq: int = 0, limit: int = 0, max_bytes: in
 
 
 def watch_batch(logs: DataFrame, cursors: DataFrame, limit: int = 0, nodes=()) -> DataFrame:
-    """The first ``limit`` records after each topic's cursor (``cursors``: topic, from_seq). Topics without records yield none."""
+    """The first ``limit`` records after each topic's cursor (``cursors``: topic, from_seq). Logs without records yield none."""
     n = row_limit(limit)
     rows = logs.join(cursors, "topic").where(F.col("seq") > F.col("from_seq"))
     rows = rows.where(decision(0, 0, nodes) == "deliver")
@@ -55,7 +55,7 @@ def watch_batch(logs: DataFrame, cursors: DataFrame, limit: int = 0, nodes=()) -
 
 
 def watch_cursors(logs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Start positions: ``wanted`` has topic, from_seq, tail; a tail starts at the head, unknown topics are dropped."""
+    """Start positions: ``wanted`` has topic, from_seq, tail; a tail starts at the head, unknown logs are dropped."""
     heads = logs.groupBy("topic").agg(F.max("seq").alias("head"))
     return wanted.join(heads, "topic").select("topic", F.when(F.col("tail"), F.col("head")).otherwise(F.coalesce("from_seq", F.lit(0))).cast("long").alias("from_seq"))
 
@@ -87,6 +87,6 @@ def idle_sessions(sessions: DataFrame, now_ms: int) -> DataFrame:
     return sessions.where((F.col("streams") == 0) & (F.lit(now_ms) - F.col("idle_since_ms") > C.SESSION_IDLE_MS))
 
 
-def check_watch(topics: int) -> None:
-    if topics > C.MAX_WATCH_TOPICS:
-        raise LedgerError("invalid_request", f"at most {C.MAX_WATCH_TOPICS} topics")
+def check_watch(logs: int) -> None:
+    if logs > C.MAX_WATCH_LOGS:
+        raise LedgerError("invalid_request", f"at most {C.MAX_WATCH_LOGS} logs")

@@ -425,7 +425,7 @@ def metrics_by_topic(spark, sf_dir):
 
 @query(
     f"""WITH {EV}, p AS (SELECT node AS topic, count(*) AS n, sum(bytes) AS b FROM ev GROUP BY node)
-    SELECT CASE WHEN CAST(substr(topic, 2) AS BIGINT) % 3 = 0 THEN 'memory' ELSE 'disk' END AS class, count(*) AS topics, CAST(sum(n) AS BIGINT) AS records, CAST(sum(b) AS BIGINT) AS bytes FROM p GROUP BY 1"""
+    SELECT CASE WHEN CAST(substr(topic, 2) AS BIGINT) % 3 = 0 THEN 'memory' ELSE 'disk' END AS class, count(*) AS logs, CAST(sum(n) AS BIGINT) AS records, CAST(sum(b) AS BIGINT) AS bytes FROM p GROUP BY 1"""
 )
 def metrics_by_class(spark, sf_dir):
     log = events_log(spark, sf_dir).withColumn("topic", F.col("node"))

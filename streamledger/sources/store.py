@@ -25,7 +25,7 @@ from ..operators import retention as T
 
 RECORDS = "topic string, seq long, ts_ms long, node string, tag string, data string, meta string, bytes long, hops int"
 LEASES = "topic string, pos long, seq long, event string, node string, lease_id long, deadline_ms long, ready_at_ms long, ts_ms long"
-EMPTY = {"version": 0, "topics": {}, "routers": {}, "parts": [], "pos": 0, "next_lease": 1}
+EMPTY = {"version": 0, "logs": {}, "routers": {}, "parts": [], "pos": 0, "next_lease": 1}
 
 
 class LogStore:
@@ -75,17 +75,17 @@ class LogStore:
         return rows.where(F.col("topic") == topic) if topic is not None else rows
 
     def _topic(self, m: dict, name: str) -> dict:
-        if name not in m["topics"]:
+        if name not in m["logs"]:
             raise LedgerError("topic_not_found", name)
-        return m["topics"][name]
+        return m["logs"][name]
 
     # --- catalog
 
     def put_topic(self, name: str, **config) -> dict:
         m = self.manifest()
-        old = m["topics"].get(name)
+        old = m["logs"].get(name)
         full = K.normalize_config(config, old and old["config"])
-        m["topics"][check_name(name)] = {"config": full, "next": old["next"] if old else 1, "floors": old["floors"] if old else {}}
+        m["logs"][check_name(name)] = {"config": full, "next": old["next"] if old else 1, "floors": old["floors"] if old else {}}
         self._publish(m)
         return full
 
@@ -97,7 +97,7 @@ class LogStore:
             K.check_delete(self.live(name).count(), True)
         gone = [r for r, x in m["routers"].items() if name in (x["source"], x["dest"])]
         m["routers"] = {r: x for r, x in m["routers"].items() if r not in gone}
-        del m["topics"][name]
+        del m["logs"][name]
         m["parts"] = [p for p in m["parts"] if p.get("topic") != name]
         self._publish(m)
         return gone
@@ -107,11 +107,11 @@ class LogStore:
     def append(self, name: str, batch: DataFrame, now_ms: int, node: str | None = None, create: bool = True) -> tuple[int, int]:
         """Append records (pos: their order; data; node, tag, meta optional). Returns the first and last sequence."""
         m = self.manifest()
-        if name not in m["topics"]:
+        if name not in m["logs"]:
             if not create:
                 raise LedgerError("topic_not_found", name)
-            m["topics"][check_name(name)] = {"config": K.normalize_config({}), "next": 1, "floors": {}}
-        t = m["topics"][name]
+            m["logs"][check_name(name)] = {"config": K.normalize_config({}), "next": 1, "floors": {}}
+        t = m["logs"][name]
         for c in ("node", "tag", "meta"):
             if c not in batch.columns:
                 batch = batch.withColumn(c, F.lit(None).cast("string"))
@@ -179,9 +179,9 @@ class LogStore:
         """Make the floors observable: later ones never fall below them, whatever the config says then."""
         row = self.state(name, now_ms).first()
         m = self.manifest()
-        m["topics"][name]["floors"] = {f: row[f] for f in T.FLOORS} if row else {}
+        m["logs"][name]["floors"] = {f: row[f] for f in T.FLOORS} if row else {}
         self._publish(m)
-        return m["topics"][name]["floors"]
+        return m["logs"][name]["floors"]
 
     def diff(self, name: str, from_seq: int, now_ms: int, limit: int = 0, nodes=(), **options) -> tuple[DataFrame, DataFrame]:
         """(page, loss marker and watermarks). A gap moves the start behind it."""
@@ -253,7 +253,7 @@ class LogStore:
         """Rewrite a topic's live records as one sorted part and drop its deletes; what is lost stays in the floors."""
         self.harden(name, now_ms)
         m = self.manifest()
-        floors = m["topics"][name]["floors"]
+        floors = m["logs"][name]["floors"]
         rows = self.live(name).where(F.col("seq") > max([0, *floors.values()]))
         part = self._part("records", rows.repartitionByRange("seq").sortWithinPartitions("seq"), topic=name)
         kept = self.spark.read.schema(RECORDS).parquet(f"{self.root}/{part['path']}").agg(F.min("seq"), F.max("seq"), F.count("*")).first()
