@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,32 +13,42 @@ from ..functions.exprs import record_bytes
 BLOCK = 1 << 16
 
 
-def prefix_sums(rows: DataFrame, by: list[str], order: str, value: str | None, name: str, descending: bool = False) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` (None: the number of rows) up to and with each row, by the long ``order``.
+def prefix_sums(rows: DataFrame, by: list[str], order: str, sums: dict[str, str | None], descending: bool = False) -> DataFrame:
+    """``rows`` with running sums up to and with each row, by the long ``order``. ``sums``: name to column (None: the number of rows).
 
     Two levels: sums of blocks of ``order`` (aggregated before they move), a running sum over the blocks, and a window
-    inside each block. So one huge log is many windows. ``order`` has to be unique within ``by``.
+    inside each block. So one huge log is many windows. ``order`` has to be unique within ``by``. All sums are taken in one call.
     """
-    v = F.lit(1).cast("long") if value is None else F.col(value)
+    value = lambda c: F.lit(1).cast("long") if c is None else F.col(c)
     turn = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     blocked = rows.withColumn("_block", F.expr(f"{order} DIV {BLOCK}"))
-    sums = blocked.groupBy(*by, "_block").agg(F.sum(v).alias("_sum"))
+    totals = blocked.groupBy(*by, "_block").agg(*[F.sum(value(c)).alias(f"_sum_{name}") for name, c in sums.items()])
     ahead = Window.partitionBy(*by).orderBy(turn("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
+    totals = totals.select(*by, "_block", *[F.coalesce(F.sum(f"_sum_{name}").over(ahead), F.lit(0)).alias(f"_before_{name}") for name in sums])
     inside = Window.partitionBy(*by, "_block").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.join(sums, [*by, "_block"]).withColumn(name, F.col("_before") + F.sum(v).over(inside)).drop("_block", "_before")
+    out = blocked.join(totals, [*by, "_block"])
+    out = out.withColumns({f"_in_{name}": F.col(f"_before_{name}") + F.sum(value(c)).over(inside) for name, c in sums.items()})
+    return out.drop("_block", *sums, *[f"_before_{name}" for name in sums]).withColumnsRenamed({f"_in_{name}": name for name in sums})
 
 
-def assign_seq(batch: DataFrame, topic: list[str], order: list[str], heads: DataFrame | None = None) -> DataFrame:
+def assign_seq(batch: DataFrame, topic: list[str], order: list[str], heads: DataFrame | None = None, also: dict[str, str] | None = None) -> DataFrame:
     """Contiguous numbers per topic, after the topic's head (``heads``: topic columns and head; default 0).
 
-    A single long order column is numbered in two levels, so that a topic with most of the batch is no single
-    window; with several columns each topic is one window.
+    Numbered in two levels, so that a topic with most of the batch is no single window: by blocks of a single long order column, else
+    by ranges of all order columns, written once so that both levels see the same ranges. ``also`` names running
+    sums of columns to take along.
     """
     if len(order) == 1 and dict(batch.dtypes)[order[0]] in ("bigint", "int"):
-        numbered = prefix_sums(batch, topic, order[0], None, "seq")
+        numbered = prefix_sums(batch, topic, order[0], {"seq": None, **(also or {})})
     else:
-        numbered = batch.withColumn("seq", F.row_number().over(Window.partitionBy(*topic).orderBy(*order)).cast("long"))
+        from ..sources.tables import written
+
+        ranged = written(batch.repartitionByRange(*topic, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+        counts = ranged.groupBy(*topic, "_range").agg(F.count("*").alias("_n"))
+        ahead = Window.partitionBy(*topic).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+        inside = Window.partitionBy(*topic, "_range").orderBy(*order)
+        numbered = ranged.join(counts, [*topic, "_range"]).withColumn("seq", (F.col("_before") + F.row_number().over(inside)).cast("long")).drop("_range", "_before")
     if heads is None:
         return numbered
     return numbered.join(heads, topic, "left").withColumn("seq", F.col("seq") + F.coalesce("head", F.lit(0))).drop("head")
@@ -55,13 +66,24 @@ def prepared(batch: DataFrame, node: str | None = None) -> DataFrame:
 
 
 def admission(current: DataFrame, batch: DataFrame, cap_records: int, cap_bytes: int) -> DataFrame:
-    """One row: would a log that rejects take the batch? outcome: admit, topic_full, or batch_too_large (over the whole cap)."""
+    """One row: would a log that rejects take the batch? outcome: admit, topic_full, or record_too_large (over the whole cap)."""
     have = current.agg(F.count("*").alias("count"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
     more = batch.agg(F.count("*").alias("batch_count"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("batch_bytes"))
     over = lambda n, cap: F.lit(cap > 0) & (n > cap)
     whole = over(F.col("batch_count"), cap_records) | over(F.col("batch_bytes"), cap_bytes)
     full = over(F.col("count") + F.col("batch_count"), cap_records) | over(F.col("bytes") + F.col("batch_bytes"), cap_bytes)
-    return have.crossJoin(more).withColumn("outcome", F.when(whole, "batch_too_large").when(full, "topic_full").otherwise("admit"))
+    return have.crossJoin(more).withColumn("outcome", F.when(whole, "record_too_large").when(full, "topic_full").otherwise("admit"))
+
+
+def _past(ts: np.ndarray, a: int, b: int, limit: int) -> int:
+    """The first place from a to b whose time is past the limit, else b; times need no order, and a far place is found in steps that double."""
+    step = 16
+    while a < b:
+        hit = np.flatnonzero(ts[a : min(b, a + step)] > limit)
+        if len(hit):
+            return a + int(hit[0])
+        a, step = a + step, 2 * step
+    return b
 
 
 def idempotent_writes(writes: DataFrame, window_ms: int) -> DataFrame:
@@ -73,19 +95,26 @@ def idempotent_writes(writes: DataFrame, window_ms: int) -> DataFrame:
     """
     rows = writes.select("pos", "idem_key", "ts_ms").repartition("idem_key").sortWithinPartitions("idem_key", "pos")
 
-    def run(frames):
+    def run(batches):
         key, created, first = None, 0, 0
-        for f in frames:
-            accepted, original = [], []
-            for pos, k, ts in zip(f["pos"], f["idem_key"], f["ts_ms"], strict=True):
-                if k is None or k != key or ts - created > window_ms:
-                    key, created, first = k, ts, pos
-                    accepted.append(True)
-                else:
-                    accepted.append(False)
-                original.append(first)
-            yield pd.DataFrame({"pos": f["pos"], "idem_key": f["idem_key"], "ts_ms": f["ts_ms"], "accepted": accepted, "original_pos": original})
-
-    keyed = rows.where("idem_key IS NOT NULL").mapInPandas(run, "pos long, idem_key string, ts_ms long, accepted boolean, original_pos long")
+        for t in batches:
+            keys, pos, ts = t.column("idem_key"), t.column("pos").to_numpy(), t.column("ts_ms").to_numpy()
+            codes = keys.dictionary_encode().indices.to_numpy()
+            edges = np.flatnonzero(np.diff(codes, prepend=-1))
+            accepted, original = np.zeros(len(pos), bool), np.empty(len(pos), np.int64)
+            for a, b in zip(edges, np.append(edges[1:], len(pos)), strict=True):
+                if keys[a].as_py() != key:
+                    key, at = keys[a].as_py(), a
+                else:  # the key goes on from the batch before
+                    at = _past(ts, a, b, created + window_ms)
+                    original[a:at] = first
+                while at < b:
+                    accepted[at], created, first = True, int(ts[at]), int(pos[at])
+                    end = _past(ts, at + 1, b, created + window_ms)
+                    original[at:end] = first
+                    at = end
+            yield pa.RecordBatch.from_arrays([t.column("pos"), keys, t.column("ts_ms"), pa.array(accepted), pa.array(original)], ["pos", "idem_key", "ts_ms", "accepted", "original_pos"])
+
+    keyed = rows.where("idem_key IS NOT NULL").mapInArrow(run, "pos long, idem_key string, ts_ms long, accepted boolean, original_pos long")
     free = writes.where("idem_key IS NULL").select("pos", F.col("idem_key").cast("string").alias("idem_key"), "ts_ms", F.lit(True).alias("accepted"), F.col("pos").alias("original_pos"))
     return keyed.union(free)

@@ -60,6 +60,14 @@ def delete_cascade(routers: DataFrame, dropped: DataFrame) -> DataFrame:
     return a.union(b).distinct()
 
 
+def list_routers(routers: DataFrame, source: str | None = None, dest: str | None = None, prefix: str = "", after: str = "", limit: int = 0) -> DataFrame:
+    """A page of routers (name, source, dest) in order of name."""
+    rows = routers.where((F.col("name") > after) & F.col("name").startswith(prefix))
+    for c, wanted in (("source", source), ("dest", dest)):
+        rows = rows.where(F.col(c) == wanted) if wanted is not None else rows
+    return rows.orderBy("name").limit(min(limit or C.PAGE_LIMIT, C.PAGE_LIMIT_MAX))
+
+
 def check_delete(count: int, if_empty: bool) -> None:
     if if_empty and count:
         raise LedgerError("topic_not_empty", f"{count} records")

@@ -29,9 +29,11 @@ def live_records(log: DataFrame, control: DataFrame) -> DataFrame:
     below = control.where("match_op IS NULL AND seqs IS NULL").groupBy("topic").agg(F.max(bound).alias("below"))
     rules = control.where("match_op IS NOT NULL").groupBy("topic", "match_op", "match_value").agg(F.max(bound).alias("bound"))
     tags = log.where("tag IS NOT NULL").select("topic", "tag").distinct()
-    t, r = tags.alias("t"), rules.alias("r")
-    hit = F.expr("t.topic = r.topic AND CASE WHEN r.match_op = 'Eq' THEN t.tag = r.match_value ELSE startswith(t.tag, r.match_value) END")
-    by_tag = t.join(r, hit).groupBy(F.col("t.topic").alias("topic"), F.col("t.tag").alias("tag")).agg(F.max("r.bound").alias("tag_below"))
+    same = tags.join(rules.where("match_op = 'Eq'").select("topic", F.col("match_value").alias("tag"), "bound"), ["topic", "tag"])
+    # a prefix rule meets the tags' own beginnings of its length: a tag has as many as there are lengths of rules, 256 at most
+    prefixes = rules.where("match_op <> 'Eq'").select("topic", F.length("match_value").alias("n"), F.col("match_value").alias("begin"), "bound")
+    begins = tags.join(prefixes.select("topic", "n").distinct(), "topic").where(F.length("tag") >= F.col("n")).withColumn("begin", F.expr("substring(tag, 1, n)"))
+    by_tag = same.union(begins.join(prefixes, ["topic", "n", "begin"]).select("topic", "tag", "bound")).groupBy("topic", "tag").agg(F.max("bound").alias("tag_below"))
     sets = control.where("seqs IS NOT NULL").select("topic", F.explode("seqs").alias("seq")).distinct()
     out = log.join(below, "topic", "left").join(by_tag, ["topic", "tag"], "left")
     out = out.where("NOT coalesce(seq < below, false) AND NOT coalesce(seq < tag_below, false)").join(sets, ["topic", "seq"], "left_anti")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..errors import LedgerError
-from .append import prefix_sums
+from .append import assign_seq
+from ..functions.exprs import record_bytes
 
 
 def lease_fold(events: DataFrame, now_ms: int) -> DataFrame:
@@ -19,18 +20,18 @@ def lease_fold(events: DataFrame, now_ms: int) -> DataFrame:
     The last claim counts; it ends with a release or ack of the same lease id, moves with its extensions, and expires when now is past the
     deadline. Deliveries are claims since the last ack. Events of stale leases have no effect.
     """
-    claims = events.where("event = 'claimed'").groupBy("seq").agg(F.max_by(F.struct("pos", "lease_id", "node", "deadline_ms"), "pos").alias("c"))
-    claims = claims.select("seq", "c.lease_id", "c.node", F.col("c.deadline_ms").alias("claimed_until"))
-    same = events.where("event <> 'claimed'").groupBy("seq", "lease_id").agg(
-        F.max(F.when(F.col("event") == "released", 1).otherwise(0)).alias("released"), F.max(F.when(F.col("event") == "acked", 1).otherwise(0)).alias("acked"),
-        F.max_by(F.when(F.col("event") == "extended", F.col("deadline_ms")), F.when(F.col("event") == "extended", F.col("pos"))).alias("extended"),
-        F.max(F.when(F.col("event") == "released", F.col("ready_at_ms"))).alias("ready_at_ms"))
-    ack = events.where("event = 'acked'").groupBy("seq").agg(F.max("pos").alias("ack_pos"))
-    count = events.where("event = 'claimed'").join(ack, "seq", "left").where("pos > coalesce(ack_pos, -1)").groupBy("seq").agg(F.count("*").alias("deliveries"))
-    out = claims.join(same, ["seq", "lease_id"], "left").join(count, "seq", "left").fillna(0, ["released", "acked", "deliveries"])
-    deadline = F.coalesce("extended", "claimed_until")
+    was = lambda event, c: F.when(F.col("event") == event, F.col(c))
+    # one shuffle by seq serves both levels
+    each = events.repartition("seq").groupBy("seq", "lease_id").agg(
+        F.max(was("claimed", "pos")).alias("claim_pos"), F.max_by(F.struct("node", "deadline_ms"), was("claimed", "pos")).alias("c"), F.collect_list(was("claimed", "pos")).alias("claims"),
+        F.max(was("acked", "pos")).alias("ack_pos"), F.count(was("released", "pos")).alias("released"), F.count(was("acked", "pos")).alias("acked"),
+        F.max_by("deadline_ms", was("extended", "pos")).alias("extended"), F.max(was("released", "ready_at_ms")).alias("ready_at_ms"))
+    last = F.max_by(F.struct("lease_id", "c.node", F.col("c.deadline_ms").alias("until"), "released", "acked", "extended", "ready_at_ms"), "claim_pos").alias("l")
+    out = each.groupBy("seq").agg(last, F.max("ack_pos").alias("ack_pos"), F.flatten(F.collect_list("claims")).alias("claims")).where("l IS NOT NULL")
+    out = out.select("seq", "l.*", F.expr("CAST(size(filter(claims, p -> p > coalesce(ack_pos, -1))) AS BIGINT)").alias("deliveries"))
+    deadline = F.coalesce("extended", "until")
     held = (F.col("released") == 0) & (F.col("acked") == 0) & (F.lit(now_ms) <= deadline)
-    return out.select("seq", "lease_id", "node", deadline.alias("deadline_ms"), held.alias("leased"), (F.col("acked") == 1).alias("acked"), "deliveries", "ready_at_ms")
+    return out.select("seq", "lease_id", "node", deadline.alias("deadline_ms"), held.alias("leased"), (F.col("acked") > 0).alias("acked"), "deliveries", "ready_at_ms")
 
 
 def claimable(queue: DataFrame, leases: DataFrame, now_ms: int) -> DataFrame:
@@ -45,13 +46,24 @@ def dead_letters(ready: DataFrame, max_deliveries: int) -> DataFrame:
     return ready.where(F.lit(max_deliveries > 0) & (F.col("deliveries") + 1 > max_deliveries))
 
 
+#: The keys under which a dead letter says where it comes from.
+PROVENANCE = ("$dead_letter_deliveries", "$dead_letter_from", "$dead_letter_src_seq")
+
+
 def divert(dead: DataFrame, source: str, dest: str, dest_head: int, now_ms: int, max_deliveries: int) -> DataFrame:
-    """Copies for the dead-letter log, with where they come from as meta."""
-    from .append import assign_seq
+    """Copies for the dead-letter log: where they come from is merged into the record's own meta (an object; else it is replaced).
 
-    rows = assign_seq(dead.withColumn("topic", F.lit(dest)).withColumnRenamed("seq", "source_seq"), ["topic"], ["source_seq"])
-    meta = F.to_json(F.create_map(F.lit("$dead_letter_source"), F.lit(source), F.lit("$dead_letter_seq"), F.col("source_seq").cast("string"), F.lit("$dead_letter_deliveries"), F.lit(str(max_deliveries))))
-    return rows.select("topic", (F.col("seq") + dest_head).alias("seq"), F.lit(now_ms).alias("ts_ms"), "node", "tag", "data", meta.alias("meta"), "bytes", "source_seq")
+    Keys of meta are in order of their names. Bytes are those of data and the new meta.
+    """
+    own = F.from_json(F.col("meta"), "map<string,variant>") if "meta" in dead.columns else F.lit(None).cast("map<string,variant>")
+    says = {PROVENANCE[0]: F.lit(str(max_deliveries)), PROVENANCE[1]: F.lit(source), PROVENANCE[2]: F.col("seq").cast("string")}
+    add = F.create_map(*[x for k, v in says.items() for x in (F.lit(k), v.cast("variant"))])
+    kept = F.map_filter(F.coalesce(own, F.create_map().cast("map<string,variant>")), lambda k, _: ~k.isin(*PROVENANCE))
+    rows = dead.withColumn("_meta", F.map_concat(kept, add)).withColumn("_keys", F.array_sort(F.map_keys("_meta")))
+    rows = rows.withColumn("meta", F.expr("to_json(map_from_arrays(_keys, transform(_keys, k -> _meta[k])))")).drop("_meta", "_keys")
+    rows = rows.withColumn("bytes", record_bytes("data", "meta"))
+    rows = assign_seq(rows.withColumn("topic", F.lit(dest)).withColumnRenamed("seq", "source_seq"), ["topic"], ["source_seq"])
+    return rows.select("topic", (F.col("seq") + dest_head).alias("seq"), F.lit(now_ms).alias("ts_ms"), "node", "tag", "data", "meta", "bytes", "source_seq")
 
 
 def cohort(ready: DataFrame, claimers: DataFrame, first_lease: int, now_ms: int) -> DataFrame:
@@ -103,13 +115,13 @@ def _events(found: DataFrame, event: str, now_ms: int, deadline, ready_at) -> Da
     return found.where("done").select("seq", F.lit(event).alias("event"), "node", F.col("held_id").alias("lease_id"), deadline.alias("deadline_ms"), ready_at.alias("ready_at_ms"), F.lit(now_ms).cast("long").alias("ts_ms"))
 
 
-def counters(queue: DataFrame, leases: DataFrame, now_ms: int) -> DataFrame:
-    """One row: live, ready, in_flight, delayed."""
+def counters(queue: DataFrame, leases: DataFrame, now_ms: int, dead_lettered: int = 0) -> DataFrame:
+    """One row: live, ready, in_flight, delayed, dead_lettered (which the queue's own count says)."""
     rows = queue.select("seq").join(leases, "seq", "left").where("NOT coalesce(acked, false)")
     flying = F.coalesce("leased", F.lit(False))
     delayed = ~flying & F.coalesce(F.col("ready_at_ms") > now_ms, F.lit(False))
     n = lambda c: F.count(F.when(c, 1))
-    return rows.agg(F.count("*").alias("live"), n(~flying & ~delayed).alias("ready"), n(flying).alias("in_flight"), n(delayed).alias("delayed"))
+    return rows.agg(F.count("*").alias("live"), n(~flying & ~delayed).alias("ready"), n(flying).alias("in_flight"), n(delayed).alias("delayed")).withColumn("dead_lettered", F.lit(dead_lettered).cast("long"))
 
 
 def check_arrays(seqs: list[int], lease_ids: list[str] | None) -> None:
@@ -118,7 +130,3 @@ def check_arrays(seqs: list[int], lease_ids: list[str] | None) -> None:
     if lease_ids is not None and len(lease_ids) != len(seqs):
         raise LedgerError("invalid_request", "as many lease_ids as seqs")
 
-
-def running_backlog(queue: DataFrame) -> DataFrame:
-    """Each record with how many are at or before it in its queue."""
-    return prefix_sums(queue, ["topic"], "seq", None, "ahead")

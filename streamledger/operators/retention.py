@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import expired, loss_reason
 from .append import prefix_sums
+from .runs import greedy_runs
 
 FLOORS = ("evict_floor", "expiry_floor", "delete_floor", "source_trim_floor")
 
@@ -25,7 +26,7 @@ def floors(log: DataFrame, now_ms: int, ttl_ms: int = 0, cap_records: int = 0, c
     expiry = F.when(F.col("first_alive") >= F.col("base"), F.col("first_alive")).otherwise(F.lit(0)) if ttl_ms else F.lit(0)
     out = base.withColumn("expiry_floor", expiry.cast("long")).withColumn("records_floor", (F.greatest(F.col("head") - cap_records, F.lit(0)) if cap_records else F.lit(0)).cast("long"))
     if cap_bytes:
-        newest = prefix_sums(log.select("topic", "seq", "bytes"), ["topic"], "seq", "bytes", "kept", descending=True)
+        newest = prefix_sums(log.select("topic", "seq", "bytes"), ["topic"], "seq", {"kept": "bytes"}, descending=True)
         size = newest.groupBy("topic").agg(F.max(F.when(F.col("kept") > cap_bytes, F.col("seq"))).alias("bytes_floor"))
         out = out.join(size, "topic").fillna(0, ["bytes_floor"])
     else:
@@ -82,17 +83,13 @@ def tier_plan(segments: DataFrame, keep_newest: int, keep_bytes: int) -> DataFra
     return rows.select("topic", "first_seq", "bytes", F.when(hot, "hot").otherwise("cold").alias("tier"))
 
 
-def seal_segments(log: DataFrame, max_records: int, max_bytes: int) -> DataFrame:
-    """(topic, segment, first_seq, last_seq, records, bytes): runs that end when records or bytes would pass their limit.
+def seal_segments(log: DataFrame, max_records: int, max_bytes: int = 0, max_age_ms: int = 0) -> DataFrame:
+    """(topic, segment, first_seq, last_seq, records, bytes): segments as a writer seals them, each count starting anew.
 
-    Boundaries follow running sums, so a segment is within a record of its limits and no row-by-row pass is needed.
+    Before a record is written, the open segment is sealed if it has ``max_records`` records, ``max_bytes`` bytes or more, is as
+    old as ``max_age_ms`` (by the records' times), or the record doesn't follow its last. The last segment is the open one.
     """
-    rows = prefix_sums(log.select("topic", "seq", "bytes"), ["topic"], "seq", "bytes", "total")
-    rows = prefix_sums(rows, ["topic"], "seq", None, "number")
-    segment = F.greatest(F.expr(f"(number - 1) DIV {max_records}"), F.lit(0)).alias("by_count")
-    rows = rows.select("topic", "seq", "bytes", segment, F.expr(f"(total - bytes) DIV {max_bytes}").alias("by_bytes"))
-    runs = rows.groupBy("topic", "by_count", "by_bytes").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("records"), F.sum("bytes").cast("long").alias("bytes"))
-    return runs.withColumn("segment", F.row_number().over(Window.partitionBy("topic").orderBy("first_seq"))).drop("by_count", "by_bytes")
+    return greedy_runs(log, max_records, max_bytes, max_age_ms, gaps=True).withColumnRenamed("run", "segment")
 
 
 def dead_segments(segments: DataFrame, live: DataFrame, size: int) -> DataFrame:

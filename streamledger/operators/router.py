@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..errors import LedgerError
 from ..functions.exprs import TagFilter
-from .append import assign_seq, prefix_sums
+from .append import assign_seq
 
 
 def forward_window(source: DataFrame, cursor: int, head: int, batch: int = C.ROUTER_BATCH) -> DataFrame:
@@ -21,10 +21,10 @@ def pending(source: DataFrame, cursor: int) -> DataFrame:
     return source.where(F.col("seq") > cursor)
 
 
-def forward(source: DataFrame, dest: str, dest_head: int, now_ms: int, match=None, preserve_node: bool = True, preserve_tag: bool = True, dest_keys: DataFrame | None = None, router: str = "") -> DataFrame:
+def forward(source: DataFrame, dest: str, dest_head: int, now_ms: int, match=None, preserve_node: bool = True, preserve_tag: bool = True, dest_keys: DataFrame | None = None, router: str = "", room_records: int | None = None, room_bytes: int | None = None) -> DataFrame:
     """Records as they arrive in ``dest``: filtered, below the hop cap, numbered after its head, stamped with ``now_ms``.
 
-    With ``dest_keys`` (column source_key of what dest retains) delivery is exactly once: what is there is skipped.
+    ``room_records`` and ``room_bytes`` bound what a destination that rejects takes: the longest prefix that fits. With ``dest_keys`` (column source_key of what dest retains) delivery is exactly once: what is there is skipped.
     """
     rows = source if "hops" in source.columns else source.withColumn("hops", F.lit(0))
     rows = rows.where(F.col("hops") < C.MAX_HOPS)
@@ -34,29 +34,24 @@ def forward(source: DataFrame, dest: str, dest_head: int, now_ms: int, match=Non
     if dest_keys is not None:
         rows = rows.join(dest_keys.select("source_key"), "source_key", "left_anti")
     rows = rows.withColumn("source_seq", F.col("seq")).withColumn("topic", F.lit(dest)).drop("seq")
-    rows = assign_seq(rows, ["topic"], ["source_seq"]).withColumn("seq", F.col("seq") + dest_head)
+    rows = assign_seq(rows, ["topic"], ["source_seq"], also={"_held": "bytes"} if room_bytes is not None else None)
+    if room_records is not None:
+        rows = rows.where(F.col("seq") <= room_records)
+    if room_bytes is not None:
+        rows = rows.where(F.col("_held") <= room_bytes)
+    rows = rows.withColumn("seq", F.col("seq") + dest_head)
     node = F.col("node") if preserve_node else F.lit(None).cast("string")
     tag = F.col("tag") if preserve_tag else F.lit(None).cast("string")
     return rows.select("topic", "seq", F.lit(now_ms).cast("long").alias("ts_ms"), node.alias("node"), tag.alias("tag"), "data", "bytes", (F.col("hops") + 1).alias("hops"), "source_seq", "source_key")
 
 
-def accepted_prefix(arriving: DataFrame, room_records: int | None, room_bytes: int | None) -> DataFrame:
-    """What a destination that rejects takes: the longest prefix that fits its room. The rest waits, the cursor with it."""
-    rows = prefix_sums(arriving, ["topic"], "seq", "bytes", "_bytes")
-    rows = prefix_sums(rows, ["topic"], "seq", None, "_count")
-    fits = F.lit(True)
-    if room_records is not None:
-        fits = fits & (F.col("_count") <= room_records)
-    if room_bytes is not None:
-        fits = fits & (F.col("_bytes") <= room_bytes)
-    return rows.where(fits).drop("_bytes", "_count")
-
+def source_trim(cursors: DataFrame, state: DataFrame) -> DataFrame:
+    """(topic, first, last, holes): records that left a source before they were forwarded, so the destination's source_trim floor.
 
-def source_trim(cursor: int, earliest: int, spark) -> DataFrame:
-    """Records that left the source before they were forwarded: a hole each, and so a source_trim floor in the destination."""
-    if earliest - 1 <= cursor:
-        return spark.range(0).select(F.col("id").alias("source_seq"))
-    return spark.range(cursor + 1, earliest).select(F.col("id").alias("source_seq"))
+    ``cursors`` has topic and cursor (the last record forwarded), ``state`` topic and earliest_seq of the source.
+    """
+    rows = cursors.join(state.select("topic", "earliest_seq"), "topic").where("earliest_seq - 1 > cursor")
+    return rows.select("topic", (F.col("cursor") + 1).alias("first"), (F.col("earliest_seq") - 1).alias("last"), (F.col("earliest_seq") - 1 - F.col("cursor")).alias("holes"))
 
 
 def hop_closure(seeds: DataFrame, routers: DataFrame, max_hops: int = C.MAX_HOPS) -> DataFrame:
@@ -74,16 +69,22 @@ def hop_closure(seeds: DataFrame, routers: DataFrame, max_hops: int = C.MAX_HOPS
     return out.where("records > 0")
 
 
-def reachable(routers: DataFrame, depth: int = 64) -> DataFrame:
-    """(source, dest) pairs connected by routers, by a recursive query."""
-    spark = routers.sparkSession
-    name = "router_edges_view"
-    routers.select("source", "dest").distinct().createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(source, dest, n) AS (
-          SELECT source, dest, 1 FROM {name}
-          UNION ALL SELECT w.source, e.dest, w.n + 1 FROM walk w JOIN {name} e ON w.dest = e.source WHERE w.n < {depth} AND w.source <> w.dest)
-        SELECT DISTINCT source, dest FROM walk""")
+def reachable(routers: DataFrame) -> DataFrame:
+    """(source, dest) pairs connected by routers, over any number of hops.
+
+    Semi-naive: each round joins the pairs found last with the edges and keeps those not known, until there are none. Pairs
+    are distinct, so branches and cycles cost no more than the pairs there are.
+    """
+    from ..sources.tables import written
+
+    edges = written(routers.select("source", "dest").distinct(), "edges")
+    onward = edges.select(F.col("source").alias("dest"), F.col("dest").alias("next"))
+    out = fresh = edges
+    while not fresh.isEmpty():
+        step = fresh.join(onward, "dest").select("source", F.col("next").alias("dest")).distinct()
+        fresh = written(step.join(out, ["source", "dest"], "left_anti"), "pairs")
+        out = out.union(fresh)
+    return out
 
 
 def check_cycle(edges: list[tuple[str, str]], source: str, dest: str, allow: bool = False) -> None:

@@ -104,7 +104,7 @@ def append_limits(spark, sf_dir):
 @query(
     f"""WITH {EV}, a AS (SELECT count(*) AS count, CAST(sum(bytes) AS BIGINT) AS bytes FROM ev WHERE tag <> 'signup'),
     b AS (SELECT count(*) AS batch_count, CAST(sum(bytes) AS BIGINT) AS batch_bytes FROM ev WHERE tag = 'signup')
-    SELECT count, bytes, batch_count, batch_bytes, CASE WHEN batch_count > 9000 OR batch_bytes > 88000 THEN 'batch_too_large'
+    SELECT count, bytes, batch_count, batch_bytes, CASE WHEN batch_count > 9000 OR batch_bytes > 88000 THEN 'record_too_large'
       WHEN count + batch_count > 9000 OR bytes + batch_bytes > 88000 THEN 'topic_full' ELSE 'admit' END AS outcome FROM a, b"""
 )
 def admit_reject(spark, sf_dir):
@@ -155,7 +155,8 @@ SELECT records, next_from_seq, head, next_from_seq = head AS caught_up, head - n
 
 @query(f"WITH {EV}, " + CURSOR.format(limit=1000, budget=2000, start=100, more="node NOT IN ('u1', 'u2')"))
 def diff_next_cursor(spark, sf_dir):
-    return R.diff_cursor(events_log(spark, sf_dir), 100, 1000, 2000, nodes=["u1", "u2"])
+    head = events_log(spark, sf_dir).agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("head"))
+    return R.diff_cursor(events_log(spark, sf_dir, 100), 100, 1000, 2000, nodes=["u1", "u2"], head=head)
 
 
 @query(f"WITH {EV}, " + CURSOR.format(limit=1000, budget=1 << 20, start=990, more="tag = 'nothing'"))
@@ -320,11 +321,17 @@ def dead_segments(spark, sf_dir):
     return T.dead_segments(_segments(log), log.where("seq >= 651"), 100)
 
 
-@query(
-    f"""WITH {EV}, t AS (SELECT seq, bytes, sum(bytes) OVER (ORDER BY seq) - bytes AS b, (row_number() OVER (ORDER BY seq) - 1) // 64 AS n FROM ev),
-    r AS (SELECT n, b // 700 AS m, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS records, CAST(sum(bytes) AS BIGINT) AS bytes FROM t GROUP BY n, b // 700)
-    SELECT 'events' AS topic, first_seq, last_seq, records, bytes, CAST(row_number() OVER (ORDER BY first_seq) AS INTEGER) AS segment FROM r"""
-)
+def runs_sql(limit, ends):
+    """Runs of ``lg`` (topic, seq, bytes) by the rule itself: from each start the next is the first row at which the run has ended."""
+    return f"""t AS (SELECT topic, seq, bytes, sum(bytes) OVER (PARTITION BY topic ORDER BY seq) - bytes AS b, row_number() OVER (PARTITION BY topic ORDER BY seq) AS n FROM lg),
+    s AS (SELECT topic, 1 AS run, CAST(1 AS BIGINT) AS a FROM t WHERE n = 1
+      UNION ALL SELECT s.topic, s.run + 1, (SELECT min(x.n) FROM t x JOIN t o ON o.topic = s.topic AND o.n = s.a WHERE x.topic = s.topic AND x.n > s.a AND (x.n - s.a >= {limit} OR {ends})) FROM s WHERE s.a IS NOT NULL),
+    q AS (SELECT topic, run, a, lead(a) OVER (PARTITION BY topic ORDER BY run) AS z FROM s WHERE a IS NOT NULL),
+    r AS (SELECT q.topic, q.run, min(t.seq) AS first_seq, max(t.seq) AS last_seq, count(*) AS records, CAST(sum(t.bytes) AS BIGINT) AS bytes
+      FROM q JOIN t ON t.topic = q.topic AND t.n >= q.a AND (q.z IS NULL OR t.n < q.z) GROUP BY q.topic, q.run)"""
+
+
+@query(f"WITH RECURSIVE {EV}, lg AS (SELECT topic, seq, bytes FROM ev), " + runs_sql(64, "x.b - o.b >= 700") + " SELECT topic, CAST(run AS INTEGER) AS segment, first_seq, last_seq, records, bytes FROM r")
 def seal_segments(spark, sf_dir):
     return T.seal_segments(events_log(spark, sf_dir), 64, 700)
 
@@ -400,22 +407,24 @@ def list_prefix(spark, sf_dir):
     return K.list_page(_names(spark, sf_dir), prefix="conv:2", limit=9999)
 
 
-ROUTERS = [(f"r{i}", f"t{i % 7}", f"t{(i * 3 + 1) % 9}") for i in range(20)]
-ROUTER_VALUES = "rt(name, source, dest) AS (VALUES " + ", ".join(map(str, ROUTERS)) + ")"
+#: A router for each supplier, from its nation's log.
+ROUTERS = "rt AS (SELECT 'r' || s_suppkey AS name, 't' || s_nationkey AS source, 't' || (s_suppkey * 3 + 1) % 40 AS dest FROM supplier)"
 
 
-def _routers(spark):
-    return spark.createDataFrame(ROUTERS, "name string, source string, dest string")
+def _routers(spark, sf_dir):
+    s = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), s).alias("name"), F.concat(F.lit("t"), F.col("s_nationkey")).alias("source"), F.concat(F.lit("t"), (s * 3 + 1) % 40).alias("dest"))
 
 
-@query(f"WITH {ROUTER_VALUES} SELECT * FROM rt WHERE source IN ('t1', 't4') OR dest IN ('t1', 't4')")
+@query(f"WITH {ROUTERS}, d AS (SELECT 't' || n_nationkey AS topic FROM nation WHERE n_regionkey = 1) SELECT DISTINCT rt.* FROM rt JOIN d ON d.topic IN (rt.source, rt.dest)")
 def delete_cascade(spark, sf_dir):
-    return K.delete_cascade(_routers(spark), spark.createDataFrame([("t1",), ("t4",)], "topic string"))
+    dropped = table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("t"), F.col("n_nationkey")).alias("topic"))
+    return K.delete_cascade(_routers(spark, sf_dir), dropped)
 
 
-@query(f"WITH {ROUTER_VALUES} SELECT name, source, dest FROM rt WHERE source = 't2' AND starts_with(name, 'r1') ORDER BY name LIMIT 5")
+@query(f"WITH {ROUTERS} SELECT name, source, dest FROM rt WHERE source = 't2' AND starts_with(name, 'r1') ORDER BY name LIMIT 100")
 def list_routers(spark, sf_dir):
-    return _routers(spark).where("source = 't2' AND startswith(name, 'r1')").orderBy("name").limit(5)
+    return K.list_routers(_routers(spark, sf_dir), source="t2", prefix="r1")
 
 
 @query(f"WITH {EV} SELECT tag AS topic, count(*) AS count, CAST(sum(bytes) AS BIGINT) AS bytes, min(seq) AS earliest_seq, max(seq) AS head, min(ts_ms) AS first_ts_ms, max(ts_ms) AS last_ts_ms FROM ev GROUP BY tag")
@@ -503,7 +512,7 @@ def router_hop_cap(spark, sf_dir):
 @query(f"WITH {EV}, f AS (SELECT seq, row_number() OVER (ORDER BY seq) AS n, sum(bytes) OVER (ORDER BY seq) AS b FROM ev WHERE seq <= 1024 AND tag <> 'view') SELECT seq AS source_seq, 70 + n AS seq FROM f WHERE n <= 200 AND b <= 1500")
 def router_backpressure(spark, sf_dir):
     log = O.forward_window(events_log(spark, sf_dir), 0, 1 << 40).where("tag <> 'view'")
-    return O.accepted_prefix(O.forward(log, "dest", 70, NOW), 200, 1500).select("source_seq", "seq")
+    return O.forward(log, "dest", 70, NOW, room_records=200, room_bytes=1500).select("source_seq", "seq")
 
 
 # The six queries above show one pass of at most a batch; these take the log from the cursor to its head.
@@ -545,12 +554,18 @@ def router_backpressure_log(spark, sf_dir):
     """A destination with room for half as many records as the source has, and five bytes for each."""
     log = events_log(spark, sf_dir)
     head = log.agg(F.max("seq")).first()[0] or 0
-    return O.accepted_prefix(O.forward(O.pending(log, 0).where("tag <> 'view'"), "dest", 70, NOW), head // 2, head * 5).select("source_seq", "seq")
+    return O.forward(O.pending(log, 0).where("tag <> 'view'"), "dest", 70, NOW, room_records=head // 2, room_bytes=head * 5).select("source_seq", "seq")
 
 
-@query("SELECT CAST(range AS BIGINT) AS source_seq FROM range(41, 100)")
+@query(
+    f"""WITH {EV}, u AS (SELECT node AS topic, count(*) AS head FROM ev GROUP BY node), c AS (SELECT topic, head // 4 AS cursor, greatest(head - 20, 0) + 1 AS earliest FROM u)
+    SELECT topic, cursor + 1 AS first, earliest - 1 AS last, earliest - 1 - cursor AS holes FROM c WHERE earliest - 1 > cursor"""
+)
 def router_source_trim(spark, sf_dir):
-    return O.source_trim(40, 100, spark)
+    """Every user's log keeps twenty records; its router has forwarded a quarter."""
+    logs = user_logs(spark, sf_dir)
+    state = T.watermarks(T.floors(logs, NOW, cap_records=20), logs)
+    return O.source_trim(state.select("topic", F.expr("head DIV 4").alias("cursor")), state)
 
 
 EDGES = "ed AS (SELECT DISTINCT 'u' || user_id % 12 AS source, 'u' || (user_id * 5 + 3) % 12 AS dest FROM events)"
@@ -561,9 +576,15 @@ def _edges(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.concat(F.lit("u"), u % 12).alias("source"), F.concat(F.lit("u"), (u * 5 + 3) % 12).alias("dest")).distinct()
 
 
-@query(f"WITH RECURSIVE {EDGES}, w AS (SELECT source, dest FROM ed UNION SELECT w.source, e.dest FROM w JOIN ed e ON w.dest = e.source) SELECT source, dest, source = dest AS cycle FROM w")
+#: Up to three edges out of every user, to users of the same thirty.
+BRANCHES = """ed AS (SELECT DISTINCT 'u' || user_id AS source, 'u' || ((user_id // 30) * 30 + (user_id * 5 + event_id % 3 * 11 + 3) % 30) AS dest FROM events)"""
+
+
+@query(f"WITH RECURSIVE {BRANCHES}, w AS (SELECT source, dest FROM ed UNION SELECT w.source, e.dest FROM w JOIN ed e ON w.dest = e.source) SELECT source, dest, source = dest AS cycle FROM w")
 def router_cycle(spark, sf_dir):
-    return O.reachable(_edges(spark, sf_dir)).withColumn("cycle", F.col("source") == F.col("dest"))
+    dest = F.expr("user_id DIV 30 * 30 + (user_id * 5 + event_id % 3 * 11 + 3) % 30")
+    edges = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("source"), F.concat(F.lit("u"), dest).alias("dest"))
+    return O.reachable(edges).withColumn("cycle", F.col("source") == F.col("dest"))
 
 
 @query(
@@ -645,11 +666,14 @@ def claim_reclaim_first(spark, sf_dir):
 
 
 @query(
-    f"""WITH {OR}, {LEASES}, {FOLD}, {AVAIL} SELECT 'dead' AS topic, 7 + row_number() OVER (ORDER BY seq) AS seq, {AT} AS ts_ms, node, tag, data,
-    '{{"$dead_letter_source":"orders","$dead_letter_seq":"' || seq || '","$dead_letter_deliveries":"1"}}' AS meta, bytes, seq AS source_seq FROM av WHERE deliveries + 1 > 1"""
+    f"""WITH {OR}, {LEASES}, {FOLD}, {AVAIL}, dl AS (SELECT *, '{{"$dead_letter_deliveries":"1","$dead_letter_from":"orders","$dead_letter_src_seq":"' || seq || '"' AS says FROM av WHERE deliveries + 1 > 1),
+    dm AS (SELECT *, says || CASE WHEN seq % 4 = 0 THEN ',"a":[1,2.5],"z":{{"k":"v"}}}}' ELSE '}}' END AS meta FROM dl)
+    SELECT 'dead' AS topic, 7 + row_number() OVER (ORDER BY seq) AS seq, {AT} AS ts_ms, node, tag, data, meta, CAST(strlen(data) + strlen(meta) AS BIGINT) AS bytes, seq AS source_seq FROM dm"""
 )
 def dead_letter(spark, sf_dir):
-    dead = Q.dead_letters(_queue(spark, sf_dir)[2], 1)
+    """Some records have meta of their own, one with an old provenance."""
+    own = F.when(F.col("seq") % 8 == 0, '{"z":{"k":"v"},"a":[1,2.5]}').when(F.col("seq") % 4 == 0, '{"z":{"k":"v"},"$dead_letter_from":"x","a":[1,2.5]}').when(F.col("seq") % 4 == 1, "[1]")
+    dead = Q.dead_letters(_queue(spark, sf_dir)[2], 1).withColumn("meta", own)
     return Q.divert(dead, "orders", "dead", 7, AT, 1)
 
 
@@ -692,7 +716,7 @@ def extend(spark, sf_dir):
 
 @query(
     f"""WITH {OR}, {LEASES}, {FOLD}, r AS (SELECT coalesce(l.leased, false) AS f, NOT coalesce(l.leased, false) AND coalesce(l.ready_at_ms > {AT}, false) AS d FROM oq q LEFT JOIN ls l ON q.seq = l.seq WHERE NOT coalesce(l.acked, false))
-    SELECT count(*) AS live, count(CASE WHEN NOT f AND NOT d THEN 1 END) AS ready, count(CASE WHEN f THEN 1 END) AS in_flight, count(CASE WHEN d THEN 1 END) AS delayed FROM r"""
+    SELECT count(*) AS live, count(CASE WHEN NOT f AND NOT d THEN 1 END) AS ready, count(CASE WHEN f THEN 1 END) AS in_flight, count(CASE WHEN d THEN 1 END) AS delayed, CAST(0 AS BIGINT) AS dead_lettered FROM r"""
 )
 def queue_counters(spark, sf_dir):
     queue, leases, _ = _queue(spark, sf_dir)
@@ -735,15 +759,33 @@ def watch_rewind(spark, sf_dir):
 
 
 @query(
-    WANT + """, b AS (SELECT * FROM (SELECT cv.topic, cv.seq, row_number() OVER (PARTITION BY cv.topic ORDER BY seq) AS rn FROM cv JOIN i ON cv.topic = i.topic WHERE n % 2 = 0 AND seq > n % 3) WHERE rn <= 3),
-    l AS (SELECT topic, max(seq) AS last FROM b GROUP BY topic)
-    SELECT topic, 1 AS ord, 'record' AS kind, seq FROM b UNION ALL SELECT l.topic, 2, 'caught_up', head FROM l JOIN h ON l.topic = h.topic WHERE last >= head
-    UNION ALL SELECT topic, 0, 'tombstone', 1 FROM i WHERE n % 2 = 0 AND n % 3 + 1 < 2"""
+    WANT + """, c AS (SELECT i.topic, n, CASE WHEN n % 10 = 0 THEN head WHEN n % 10 = 4 THEN head + 9 ELSE n % 3 END AS from_seq, head FROM i JOIN h ON i.topic = h.topic WHERE n % 2 = 0)
+    SELECT c.topic, 1 AS ord, 'record' AS kind, seq FROM c JOIN cv ON c.topic = cv.topic WHERE seq > c.from_seq AND NOT (c.from_seq + 1 < 2 AND seq <= 1)
+    UNION ALL SELECT topic, 2, 'caught_up', head FROM c UNION ALL SELECT topic, 0, 'tombstone', 1 FROM c WHERE from_seq + 1 < 2
+    UNION ALL SELECT 'gone:' || topic, 0, 'topic_deleted', 0 FROM i WHERE n % 50 = 0"""
 )
 def caught_up_frames(spark, sf_dir):
+    """Some cursors are at the head, some past it, and some names have no log."""
+    logs = conversation_logs(spark, sf_dir)
+    n = F.expr("try_cast(substring(topic, 6) AS BIGINT)")
+    heads = logs.groupBy("topic").agg(F.max("seq").alias("head"))
+    cursors = heads.where(n % 2 == 0).select("topic", F.when(n % 10 == 0, F.col("head")).when(n % 10 == 4, F.col("head") + 9).otherwise(n % 3).alias("from_seq"))
+    gone = heads.where(n % 50 == 0).select(F.concat(F.lit("gone:"), "topic").alias("topic"), F.lit(0).cast("long").alias("from_seq"))
+    return R.watch_frames(logs, cursors.union(gone), evicted=cursors.select("topic", F.lit(2).cast("long").alias("evict_earliest")))
+
+
+@query(
+    WANT.replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT topic, n % 3 AS from_seq FROM i WHERE n < 200), lg AS (SELECT cv.topic, seq, bytes FROM cv JOIN w ON cv.topic = w.topic WHERE seq > from_seq AND tag <> 'system'), """
+    + runs_sql(4, "x.b + x.bytes - o.b > 900")
+    + """, f AS (SELECT r.*, lag(last_seq) OVER (PARTITION BY r.topic ORDER BY run) AS p, lead(run) OVER (PARTITION BY r.topic ORDER BY run) AS nx FROM r)
+    SELECT f.topic, CAST(run AS INTEGER) AS frame, coalesce(p, w.from_seq) AS from_seq, CASE WHEN nx IS NULL THEN head ELSE last_seq END AS to_seq, head, records, bytes FROM f JOIN w ON f.topic = w.topic JOIN h ON f.topic = h.topic"""
+)
+def watch_drain(spark, sf_dir):
+    """Record frames of at most four records and 900 bytes, of the watched logs, without what the role of system wrote."""
     logs = conversation_logs(spark, sf_dir)
-    cursors = R.watch_cursors(logs, _wanted(spark, sf_dir, False))
-    return R.watch_frames(logs, cursors, 3, cursors.select("topic", F.lit(2).cast("long").alias("evict_earliest")))
+    n = F.substring("topic", 6, 20).cast("long")
+    cursors = logs.select("topic").distinct().where(n < 200).select("topic", (n % 3).alias("from_seq"))
+    return R.watch_batches(logs.withColumn("node", F.col("tag")), cursors, 4, 900, nodes="system")
 
 
 @query(f"WITH {EV} SELECT node AS session, max(ts_ms) AS idle_since_ms FROM ev GROUP BY node HAVING count(*) % 2 = 0 AND max(ts_ms) < 1706659000000 - 300000")
@@ -793,33 +835,47 @@ def priority_bands(spark, sf_dir):
 )
 def diff_page(spark, sf_dir):
     """One page of a log with a records cap and a time to live, read from the start: it resumes after what was lost."""
-    log = events_log(spark, sf_dir)
-    state = T.floors(log, NOW, ttl_ms=TTL, cap_records=800).select("topic", F.greatest(*T.FLOORS).alias("gone"))
-    live = log.join(F.broadcast(state), "topic").where("seq > gone").drop("gone")  # a row for the one topic
-    return R.diff_page(live, 0, nodes="u3", tags=True)
+    gone = T.floors(events_log(spark, sf_dir), NOW, ttl_ms=TTL, cap_records=800).select(F.greatest(*T.FLOORS).alias("gone")).first()
+    start = gone["gone"] if gone else 0  # a row for the one log; its floor reaches the scan
+    return R.diff_page(events_log(spark, sf_dir, start), start, nodes="u3", tags=True)
 
 
+# --- streams -----------------------------------------------------------------------------------------------------
 
 
-# --- streams (rows only: no SQL) ---------------------------------------------------------------------------------
-
-
-@query()
+@query(f"WITH {EV} SELECT topic, 'record' AS kind, seq, tag FROM ev WHERE seq > 100 AND (node IS NULL OR node NOT IN ('u1', 'u2')) UNION ALL SELECT topic, 'caught_up', max(seq), NULL FROM ev GROUP BY topic")
 def stream_watch(spark, sf_dir):
-    return L.watch(L.event_stream(spark, sf_dir), L.work_folder(spark, "watch"), 100, ["u1", "u2"])
+    heads = events_log(spark, sf_dir).groupBy("topic").agg(F.max("seq").alias("head"))
+    return L.watch(L.event_stream(spark, sf_dir), L.work_folder(spark, "watch"), 100, ["u1", "u2"], heads)
 
 
-@query()
+@query(
+    f"""WITH {EV} SELECT 'mirror' AS topic, row_number() OVER (ORDER BY seq) AS seq, {NOW} AS ts_ms, node, tag, data, bytes, 1 AS hops, seq AS source_seq, ':events:' || seq AS source_key
+    FROM ev WHERE starts_with(tag, 'pur')"""
+)
 def stream_router(spark, sf_dir):
     return L.route(L.event_stream(spark, sf_dir), L.work_folder(spark, "router"), "mirror", NOW, match="pur*")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EV}, e AS (SELECT seq % 8 AS connection, seq, ts_ms, row_number() OVER (PARTITION BY seq % 8 ORDER BY seq) AS n FROM ev),
+    s AS (SELECT connection, n, seq, ts_ms AS pushed_ms, [ts_ms + 3600000] AS held FROM e WHERE n = 1
+      UNION ALL SELECT connection, n, seq, pushed, list_append(rest, pushed + 3600000) FROM (
+        SELECT connection, n, seq, CASE WHEN len(h) >= 4 THEN h[1] + 1 ELSE ts_ms END AS pushed, CASE WHEN len(h) >= 4 THEN h[2:] ELSE h END AS rest FROM (
+          SELECT e.connection, e.n, e.seq, e.ts_ms, list_sort(list_filter(s.held, lambda x: x >= e.ts_ms)) AS h FROM s JOIN e ON e.connection = s.connection AND e.n = s.n + 1)))
+    SELECT connection, seq, pushed_ms + 3600000 AS lease_until, pushed_ms FROM s"""
+)
 def stream_queue(spark, sf_dir):
     return L.pushed(L.event_stream(spark, sf_dir), L.work_folder(spark, "queue"), 8, 4, 3_600_000)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {EV}, w AS (SELECT seq, node || ':' || tag AS idem_key, ts_ms FROM ev),
+    s AS (SELECT idem_key, min(seq) AS seq FROM w GROUP BY idem_key
+      UNION ALL SELECT s.idem_key, (SELECT min(n.seq) FROM w n JOIN w o ON o.seq = s.seq WHERE n.idem_key = s.idem_key AND n.seq > s.seq AND n.ts_ms - o.ts_ms > 86400000) FROM s WHERE s.seq IS NOT NULL),
+    a AS (SELECT w.*, s.seq IS NOT NULL AS accepted FROM w LEFT JOIN s ON w.seq = s.seq)
+    SELECT idem_key, seq, accepted, max(CASE WHEN accepted THEN seq END) OVER (PARTITION BY idem_key ORDER BY seq) AS original_seq FROM a"""
+)
 def stream_dedupe(spark, sf_dir):
     rows = L.event_stream(spark, sf_dir).withColumn("idem_key", F.concat_ws(":", "node", "tag"))
     return L.deduplicated(rows, L.work_folder(spark, "dedupe"), 86_400_000)

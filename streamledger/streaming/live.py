@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
-from ..functions.exprs import TagFilter
+from ..functions.exprs import TagFilter, node_passes
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -33,51 +33,60 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) ->
         F.concat(F.lit("u"), F.col("user_id")).alias("node"), F.col("event_type").alias("tag"), F.col("props").alias("data"), F.octet_length("props").cast("long").alias("bytes"))
 
 
-def run_available(stream: DataFrame, folder: str, batch=None, mode: str = "append") -> DataFrame:
-    """Run what is available to the end and return what was written. ``batch`` turns a micro-batch into the rows of the sink."""
+def run_available(stream: DataFrame, folder: str, batch=None, mode: str = "append", after=None) -> DataFrame:
+    """Run what is available to the end and return what was written. ``batch`` turns a micro-batch into the rows of the sink; ``after`` sees what it wrote."""
     spark = stream.sparkSession
 
     def write(df: DataFrame, number: int) -> None:
-        (batch(df, number) if batch else df).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        rows = batch(df, number) if batch else df
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        if after:
+            after(spark.read.schema(rows.schema).parquet(f"{folder}/rows/batch={number}"), number)
 
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*").drop("batch")
 
 
-def watch(stream: DataFrame, folder: str, from_seq: int = 0, nodes=()) -> DataFrame:
-    """Frames of a watch: each record after the cursor, and caught_up at the end of each micro-batch."""
-    names = [nodes] if isinstance(nodes, str) else list(nodes)
-    rows = stream.where(F.col("seq") > from_seq)
-    if names:
-        rows = rows.where(F.col("node").isNull() | ~F.col("node").isin(names))
+def watch(stream: DataFrame, folder: str, from_seq: int = 0, nodes=(), heads: DataFrame | None = None) -> DataFrame:
+    """Frames of a watch: each record after the cursor that passes, and caught_up with the true head when a log has been drained to it.
+
+    What is filtered counts for the head, so a reader of whose records none passes catches up too. ``heads`` (topic, head) says
+    where the logs end while there is a backlog; without it a micro-batch is what there is.
+    """
 
     def frames(df: DataFrame, number: int) -> DataFrame:
-        records = df.select("topic", F.lit("record").alias("kind"), "seq", "tag")
-        caught = df.groupBy("topic").agg(F.max("seq").alias("seq")).select("topic", F.lit("caught_up").alias("kind"), "seq", F.lit(None).cast("string").alias("tag"))
-        return records.union(caught)
+        rows = df.where(F.col("seq") > from_seq).where(node_passes(nodes))
+        records = rows.select("topic", F.lit("record").alias("kind"), "seq", "tag")
+        caught = df.groupBy("topic").agg(F.max("seq").alias("seq"))
+        if heads is not None:
+            caught = caught.join(heads, "topic").where("seq >= head").select("topic", "seq")
+        return records.union(caught.select("topic", F.lit("caught_up").alias("kind"), "seq", F.lit(None).cast("string").alias("tag")))
 
-    return run_available(rows, folder, frames)
+    return run_available(stream, folder, frames)
 
 
 def route(stream: DataFrame, folder: str, dest: str, now_ms: int, match=None, preserve_node: bool = True, preserve_tag: bool = True) -> DataFrame:
     """A router as a stream: filtered records get the destination's next numbers, micro-batch by micro-batch.
 
-    The head is what earlier micro-batches wrote, so that a batch that runs again gets its old numbers.
+    The head is kept with each micro-batch, so that one that runs again gets its old numbers.
     """
     from ..operators.router import forward
 
     rows = stream.where(TagFilter.parse(match).column()) if match is not None else stream
     spark = stream.sparkSession
 
+    def head(number: int) -> int:
+        return spark.read.schema("head long").parquet(f"{folder}/heads/batch={number}").first()[0] if number >= 0 else 0
+
     def arrive(df: DataFrame, number: int) -> DataFrame:
-        head = 0
-        if number:
-            before = [f"{folder}/rows/batch={i}" for i in range(number)]
-            head = spark.read.parquet(*before).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        return forward(df, dest, head, now_ms, preserve_node=preserve_node, preserve_tag=preserve_tag)
+        return forward(df, dest, head(number - 1), now_ms, preserve_node=preserve_node, preserve_tag=preserve_tag)
+
+    def keep(out: DataFrame, number: int) -> None:
+        last = out.agg(F.max("seq")).first()[0] or head(number - 1)
+        spark.createDataFrame([(last,)], "head long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/heads/batch={number}")
 
-    return run_available(rows, folder, arrive)
+    return run_available(rows, folder, arrive, after=keep)
 
 
 def deduplicated(stream: DataFrame, folder: str, window_ms: int) -> DataFrame:

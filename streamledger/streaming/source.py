@@ -17,10 +17,23 @@ SCHEMA = "topic string, seq long, ts_ms long, node string, tag string, data stri
 COLUMNS = ["topic", "seq", "ts_ms", "node", "tag", "data"]
 
 
+SLICE = 1 << 20  # sequences that a task reads
+
+
 def _dataset(path: str):
+    """Any folder that Arrow's file systems open: local, hdfs://, s3://, gs://."""
     import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return ds.dataset(inner, filesystem=system, format="parquet")
 
-    return ds.dataset(path.removeprefix("file://"), format="parquet")
+
+def batch_heads(batch) -> tuple[list[str], list[int]]:
+    import pyarrow as pa
+
+    found = pa.Table.from_batches([batch]).group_by("topic").aggregate([("seq", "max")])
+    return found["topic"].to_pylist(), found["seq_max"].to_pylist()
 
 
 class Slice(InputPartition):
@@ -31,17 +44,18 @@ class Slice(InputPartition):
 class LedgerReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options["path"]
+        self.seen: set[str] = set()
+        self.heads: dict[str, int] = {}
         self.cursors = {k: int(v) for k, v in json.loads(options.get("cursors", "{}")).items()}
 
     def _heads(self) -> dict[str, int]:
-        import pyarrow.compute as pc
-
-        heads: dict[str, int] = {}
-        for batch in _dataset(self.path).to_batches(columns=["topic", "seq"]):
-            for t in pc.unique(batch["topic"]).to_pylist():
-                top = pc.max(batch.filter(pc.equal(batch["topic"], t))["seq"]).as_py()
-                heads[t] = max(heads.get(t, 0), top)
-        return heads
+        for part in _dataset(self.path).get_fragments():  # files don't change: each is looked at once
+            if part.path not in self.seen:
+                for batch in part.to_batches(columns=["topic", "seq"]):
+                    for t, top in zip(*batch_heads(batch), strict=True):
+                        self.heads[t] = max(self.heads.get(t, 0), top)
+                self.seen.add(part.path)
+        return self.heads
 
     def initialOffset(self) -> dict:
         return dict(self.cursors)
@@ -50,7 +64,7 @@ class LedgerReader(DataSourceStreamReader):
         return {t: h for t, h in self._heads().items() if not self.cursors or t in self.cursors}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
-        return [Slice(t, int(start.get(t, 0)), int(e)) for t, e in sorted(end.items()) if int(e) > int(start.get(t, 0))]
+        return [Slice(t, a, min(a + SLICE, int(e))) for t, e in sorted(end.items()) for a in range(int(start.get(t, 0)), int(e), SLICE)]
 
     def read(self, partition: Slice):
         import pyarrow.dataset as ds
