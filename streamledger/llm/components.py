@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize
+from .runtime import discard, materialize, spread
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Null ends and loops are ignored, repeated edges count once, no edges give no rows. Every round
     replaces the edges by a smaller-or-equal set that keeps the components (a node's neighbours are
     joined to the smallest of them), written to the shared scratch folder. Minima are aggregated before
-    they are joined back, from a written table: so the centre of a huge star is a plain skewed join, which is split at run time, never one task's list.
+    they are joined back, dealt anew: so the centre of a huge star is a plain skewed join, which is split at run time, never one task's list.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     e = materialize(e, "edges")
@@ -25,13 +25,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     before = mark(e)
     for _ in range(max_rounds):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-        low = materialize(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "low")
-        large = materialize(both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        low = spread(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
+        large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = spread(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         done, e = e, materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        for old in (done, low, large, least):
-            discard(old)
+        discard(done)
         now = mark(e)
         if now == before:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import materialize
+from .runtime import materialize, spread
 
 CELL = 1024  # vectors a pivot stands for
 MAX_PIVOTS = 1024  # pivots of a label
@@ -152,7 +152,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     cells = materialize(cells, "cells")
 
     blocks = cells.groupBy("space", "cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).cast("int").alias("hb"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rb")).where("hb > 0")
-    blocks = materialize(blocks, "blocks")
+    blocks = spread(blocks)
     both = cells.join(blocks, ["space", "cell"])
     turn = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = both.where("home").select("space", "cell", "rep", "c", "v", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("hb")).cast("int").alias("i"), turn("rb").alias("j"))

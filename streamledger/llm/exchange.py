@@ -69,6 +69,12 @@ def _messages(chunk: int, keys: np.ndarray, values: list[np.ndarray], buckets: i
     return pa.table({"b": pa.array(b, pa.int32()), "c": pa.array(c, pa.int32()), "n": pa.array(n, pa.int32()), "body": pa.array(body, pa.binary())})
 
 
+def in_batches(table: pa.Table, rows: int = 1024, size: int = 4 << 20) -> pa.Table:
+    """``table`` in batches of at most ``rows`` rows and about ``size`` bytes: the executor receives one at a time, not a chunk's whole result."""
+    rows = max(1, min(rows, int(rows if not table.nbytes else size * table.num_rows // table.nbytes)))
+    return pa.Table.from_batches(table.combine_chunks().to_batches(rows), table.schema) if table.num_rows else table
+
+
 def exchange(
     docs: DataFrame,
     columns: list[str],
@@ -96,7 +102,7 @@ def exchange(
         out = _messages(k[0].as_py(), keys, values, buckets)
         del keys, values
         release()
-        return out
+        return in_batches(out)
 
     def reduce(k, table):
         parts = [unpack(x) for x in table["body"].to_pylist()]
@@ -115,7 +121,7 @@ def exchange(
         b = k[0].as_py()
         del answers
         release()
-        return pa.table({"b": pa.array([b] * len(sizes), pa.int32()), "c": pa.array(chunk_ids, pa.int32()), "n": pa.array(sizes, pa.int32()), "body": pa.array(body, pa.binary())})
+        return in_batches(pa.table({"b": pa.array([b] * len(sizes), pa.int32()), "c": pa.array(chunk_ids, pa.int32()), "n": pa.array(sizes, pa.int32()), "body": pa.array(body, pa.binary())}))
 
     def meet(table, sent):
         if not table.num_rows:
@@ -123,7 +129,10 @@ def exchange(
         rows = sorted(zip(sent["b"].to_pylist(), sent["body"].to_pylist(), strict=True))
         parts = [unpack(x)[1:] for _, x in rows]
         answers = [np.concatenate([p[j] for p in parts]).view(np.int64) for j in range(len(parts[0]))] if parts else []
-        return finish(table.select(names), answers)
+        out = in_batches(finish(table.select(names), answers))
+        del rows, parts, answers
+        release()
+        return out
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import exchange, expand
-from .runtime import materialize
+from .runtime import materialize, spread
 from .words import mix, shingle_sets, text_buffer
 
 _SETS = "doc_id long, n_shingles long, copy_of long, digest binary, central long, k0 long, k1 long, k2 long, prefix int, tokens binary, c long"
@@ -243,8 +243,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         labels = found if labels is None else labels.union(found)
         left = left.join(found, "doc_id", "left_anti")
     attached = labels
-    # what is aggregated by a key and joined to it is written first: the other side is then split where a key is hot
-    sizes = materialize(attached.groupBy("leader").agg(F.count("*").alias("c")), "sizes")
+    sizes = spread(attached.groupBy("leader").agg(F.count("*").alias("c")))
     known = reps.select("doc_id").join(attached, "doc_id", "left").select("doc_id", F.coalesce("leader", "doc_id").alias("label"))
     known = known.join(sizes, known.label == sizes.leader, "left").select("doc_id", "label", (F.coalesce("c", F.lit(0)) + 1).alias("size"))
     known = known.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / GROUP).cast("long")))
@@ -252,7 +251,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
     rows = materialize(grouped.select("doc_id", "n_shingles", "label", "size", "piece", "prefix", "tokens").mapInArrow(_explode_prefix, "token long, rest long, doc_id long, n_shingles long, label long, size long, piece long"), "postings")
     rank = F.struct("size", "label")
-    shared = materialize(rows.groupBy("token").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).where("low < high"), "shared")
+    shared = spread(rows.groupBy("token").agg(F.min(rank).alias("low"), F.max(rank).alias("high")).where("low < high"))
     queries = rows.join(shared, "token").where(rank < F.col("high")).select("token", "rest", "doc_id", "n_shingles", rank.alias("rank"))
     groups = rows.join(shared, "token").where(rank > F.col("low")).groupBy("token", "label", "size", "piece").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.max("rest").alias("group_rest"))
     groups = groups.select("token", "label", "piece", rank.alias("group_rank"), "least", "most", "group_rest")
@@ -266,7 +265,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
     def salted(asked: DataFrame, held: DataFrame):
         """Queries and the groups they ask for, a group that many ask for once for each ``QUERIES`` of them."""
-        salts = materialize(asked.groupBy("label", "piece").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("salts")), "salts")
+        salts = spread(asked.groupBy("label", "piece").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("salts")))
         asked = asked.join(salts, ["label", "piece"]).withColumn("salt", F.pmod(F.xxhash64("query"), F.col("salts"))).withColumnsRenamed({"label": "l", "piece": "p", "salt": "s"}).drop("salts").join(sought, "query")
         held = held.join(salts, ["label", "piece"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         return held.repartition("label", "piece", "salt").groupBy("label", "piece", "salt").cogroup(asked.repartition("l", "p", "s").groupBy("l", "p", "s"))
@@ -276,7 +275,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     opened = salted(passed, grouped.select("label", "piece", "doc_id", "n_shingles", "c", "tokens")).applyInArrow(_open_groups(percent), _DEGREES)
 
     several = grouped.where("size > 1")
-    blocks = materialize(several.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("tokens")) / BLOCK_BYTES)).cast("long").alias("blocks")), "blocks")
+    blocks = spread(several.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("tokens")) / BLOCK_BYTES)).cast("long").alias("blocks")))
     inside = several.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     inside = inside.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "n_shingles", "c", "tokens")
     # dealt by cell, not by label as the join above is: a label may hold a third of all documents

@@ -42,6 +42,11 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """An aggregate dealt anew without its key. A join by that key then deals both sides itself, and can split the other side where the key is hot."""
+    return df.repartition(partitions(df.sparkSession))
+
+
 def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     """``df``, whose session sends whole texts to Python workers in batches of at most ``rows`` rows (``arrow.maxRecordsPerBatch``).
 
