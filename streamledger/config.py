@@ -11,6 +11,7 @@ BATCH_BYTES, BATCH_BYTES_MAX = 1 << 20, 8 << 20
 PAGE_LIMIT, PAGE_LIMIT_MAX = 100, 1000
 MAX_WATCH_LOGS = 256
 MAX_HOPS = 8
+MAX_ROUTERS = 10_000
 ROUTER_BATCH = 1024
 CLAIM_MAX = 1000
 LEASE_MS_MIN, LEASE_MS_MAX = 100, 86_400_000

@@ -124,9 +124,10 @@ def counters(queue: DataFrame, leases: DataFrame, now_ms: int, dead_lettered: in
     return rows.agg(F.count("*").alias("live"), n(~flying & ~delayed).alias("ready"), n(flying).alias("in_flight"), n(delayed).alias("delayed")).withColumn("dead_lettered", F.lit(dead_lettered).cast("long"))
 
 
-def check_arrays(seqs: list[int], lease_ids: list[str] | None) -> None:
-    if len(seqs) > C.CLAIM_MAX:
+def check_arrays(seqs: int, lease_ids: int | None = None) -> None:
+    """Bounds of an ack, nack or extend, by the numbers of its seqs and lease ids."""
+    if seqs > C.CLAIM_MAX:
         raise LedgerError("invalid_request", f"at most {C.CLAIM_MAX} seqs")
-    if lease_ids is not None and len(lease_ids) != len(seqs):
+    if lease_ids is not None and lease_ids != seqs:
         raise LedgerError("invalid_request", "as many lease_ids as seqs")
 

@@ -42,7 +42,7 @@ def forward(source: DataFrame, dest: str, dest_head: int, now_ms: int, match=Non
     rows = rows.withColumn("seq", F.col("seq") + dest_head)
     node = F.col("node") if preserve_node else F.lit(None).cast("string")
     tag = F.col("tag") if preserve_tag else F.lit(None).cast("string")
-    return rows.select("topic", "seq", F.lit(now_ms).cast("long").alias("ts_ms"), node.alias("node"), tag.alias("tag"), "data", "bytes", (F.col("hops") + 1).alias("hops"), "source_seq", "source_key")
+    return rows.select("topic", "seq", F.lit(now_ms).cast("long").alias("ts_ms"), node.alias("node"), tag.alias("tag"), "data", *(["meta"] if "meta" in rows.columns else []), "bytes", (F.col("hops") + 1).alias("hops"), "source_seq", "source_key")
 
 
 def source_trim(cursors: DataFrame, state: DataFrame) -> DataFrame:
