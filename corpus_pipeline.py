@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but the last
 return the columns of ``documents``. ``run`` writes each stage's result as Parquet in the shared scratch folder and reads it
-again for the next. Packing can't be expressed in SQL, so there is no oracle; tests hold the stages
-against brute force.
+again for the next. Packing can't be expressed in SQL, so there is no oracle; the operators behind the stages are
+tested against brute force each.
+
+Nulls and odd rows: a null or empty text is clean, has no near copy and no window, is never repeated by the mix (so it leaves
+there), and rows that repeat a doc_id with its text are one document after the second stage. Ties go to the smallest doc_id. Texts are
+whole at any length. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
