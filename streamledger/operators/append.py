@@ -13,22 +13,23 @@ from ..functions.exprs import record_bytes
 BLOCK = 1 << 16
 
 
-def prefix_sums(rows: DataFrame, by: list[str], order: str, sums: dict[str, str | None], descending: bool = False) -> DataFrame:
-    """``rows`` with running sums up to and with each row, by the long ``order``. ``sums``: name to column (None: the number of rows).
+def prefix_sums(rows: DataFrame, by: list[str], order: str, value: str | None, name: str, descending: bool = False, also: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` (None: the number of rows) up to and with each row, by the long ``order``. ``also`` names sums of more columns.
 
     Two levels: sums of blocks of ``order`` (aggregated before they move), a running sum over the blocks, and a window
     inside each block. So one huge log is many windows. ``order`` has to be unique within ``by``. All sums are taken in one call.
     """
-    value = lambda c: F.lit(1).cast("long") if c is None else F.col(c)
+    sums = {name: value, **(also or {})}
+    of = lambda c: F.lit(1).cast("long") if c is None else F.col(c)
     turn = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
     blocked = rows.withColumn("_block", F.expr(f"{order} DIV {BLOCK}"))
-    totals = blocked.groupBy(*by, "_block").agg(*[F.sum(value(c)).alias(f"_sum_{name}") for name, c in sums.items()])
+    totals = blocked.groupBy(*by, "_block").agg(*[F.sum(of(c)).alias(f"_sum_{n}") for n, c in sums.items()])
     ahead = Window.partitionBy(*by).orderBy(turn("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_block", *[F.coalesce(F.sum(f"_sum_{name}").over(ahead), F.lit(0)).alias(f"_before_{name}") for name in sums])
+    totals = totals.select(*by, "_block", *[F.coalesce(F.sum(f"_sum_{n}").over(ahead), F.lit(0)).alias(f"_before_{n}") for n in sums])
     inside = Window.partitionBy(*by, "_block").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
     out = blocked.join(totals, [*by, "_block"])
-    out = out.withColumns({f"_in_{name}": F.col(f"_before_{name}") + F.sum(value(c)).over(inside) for name, c in sums.items()})
-    return out.drop("_block", *sums, *[f"_before_{name}" for name in sums]).withColumnsRenamed({f"_in_{name}": name for name in sums})
+    out = out.withColumns({f"_in_{n}": F.col(f"_before_{n}") + F.sum(of(c)).over(inside) for n, c in sums.items()})
+    return out.drop("_block", *sums, *[f"_before_{n}" for n in sums]).withColumnsRenamed({f"_in_{n}": n for n in sums})
 
 
 def assign_seq(batch: DataFrame, topic: list[str], order: list[str], heads: DataFrame | None = None, also: dict[str, str] | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def assign_seq(batch: DataFrame, topic: list[str], order: list[str], heads: Data
     sums of columns to take along.
     """
     if len(order) == 1 and dict(batch.dtypes)[order[0]] in ("bigint", "int"):
-        numbered = prefix_sums(batch, topic, order[0], {"seq": None, **(also or {})})
+        numbered = prefix_sums(batch, topic, order[0], None, "seq", also=also)
     else:
         from ..sources.tables import written
 
