@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, partitions
 
 STEP = 12  # bits of the rounds after the first
 DEPTH = 60  # bits of the hash
@@ -63,11 +63,7 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", size: Co
         pending = materialize(met.where(f"over > {step}").drop("over"), "oversize")
         if start >= DEPTH:
             # what no number of bits splits: repeated keys over the limit, and single rows over it
-            each = Window.partitionBy("_bits")
-            order = each.orderBy(F.desc("_bytes")).rowsBetween(Window.unboundedPreceding, 0)
-            room = F.greatest(F.floor(F.lit(limit) / F.greatest(F.max("_bytes").over(each), F.lit(1))), F.lit(1))
-            hot = pending.withColumn("depth", F.lit(DEPTH)).withColumn("part", F.floor((F.count("*").over(order) - 1) / room).cast("long"))
-            placed.append(hot)
+            placed.append(_parts(pending, limit).select(*placed[0].columns))
             break
         step = min(STEP, DEPTH - start)
     out = placed[0]
@@ -79,6 +75,24 @@ def extendible_shards(docs: DataFrame, limit: int, key: str = "doc_id", size: Co
     return out.select("_keep.*", *(F.col(c).alias(f"_{c}" if c in keep else c) for c in out.columns[1:]))
 
 
+def _parts(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of keys that hold more than the limit, in numbered parts: the largest first, as many a part as its key's largest allows.
+
+    Rows are dealt by key, size and their place in the table, so that a hot key lies in many slices; a row's number is its place in the slice
+    and what the key has in the slices before. The slices are written, so that numbers stay when a task runs again.
+    """
+    order = [F.col("_bits"), F.desc("_bytes"), F.col("_at")]
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(partitions(rows.sparkSession), *order)
+    slices = materialize(dealt.withColumn("_slice", F.spark_partition_id()), "slices")
+    key = Window.partitionBy("_bits")  # a row for each slice of the key
+    counts = slices.groupBy("_bits", "_slice").agg(F.count("*").alias("_n"), F.max("_bytes").alias("_top"))
+    room = F.greatest(F.floor(F.lit(limit) / F.greatest(F.max("_top").over(key), F.lit(1))), F.lit(1))
+    counts = counts.select("_bits", "_slice", (F.sum("_n").over(key.orderBy("_slice")) - F.col("_n")).alias("_before"), room.alias("_room"))
+    place = F.row_number().over(Window.partitionBy("_bits", "_slice").orderBy(F.desc("_bytes"), "_at"))
+    met = slices.withColumn("_place", place).join(counts, ["_bits", "_slice"])
+    return met.withColumn("depth", F.lit(DEPTH)).withColumn("part", F.floor((F.col("_before") + F.col("_place") - 1) / F.col("_room")).cast("long"))
+
+
 SHARD_BYTES = 1 << 20
 
 
