@@ -16,7 +16,7 @@ from .runtime import materialize, partitions, text_bytes
 WORDS = 5
 SCALE = 4  # one hash in four
 _SPLIT = r"[\x20\x09-\x0D]+"
-MOST_RANGES = 2000
+RANGES = 1000  # of a level; there are two
 _BOUND = (1 << 62) // SCALE  # hashes are shifted to 62 bits
 
 
@@ -64,25 +64,46 @@ def encode(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.hex(x))), ".")
 
 
+def _place(edges: Column, id: Column, text: Column, level: int) -> Column:
+    """A row's range between sorted edges. An id that several edges name holds whole ranges: its rows are dealt to these by a hash of the text."""
+    below, upto = F.size(F.filter(edges, lambda x: x < id)), F.size(F.filter(edges, lambda x: x <= id))
+    own = F.pmod(F.xxhash64(text, F.lit(level)), F.greatest(upto - below - 1, F.lit(1)).cast("long"))
+    return F.when(upto - below < 2, below.cast("long")).otherwise(below + 1 + own).cast("long")
+
+
+def _shares(n: int) -> list[float]:
+    return [i / n for i in range(1, n)]
+
+
+def _in_ranges(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (id, text) with part: about ``n`` ranges in order of id, cut at RANGES percentiles and, where more are wanted, each of these again."""
+    none = F.array().cast("array<bigint>")
+    k = min(n, RANGES)
+    found = rows.select(F.percentile_approx("id", _shares(k), 10000)).first()[0] if k > 1 else None
+    edges = F.array(*[F.lit(x).cast("long") for x in found]) if found else none
+    rows = rows.withColumn("part", _place(edges, F.col("id"), F.col("text"), 0))
+    if n <= RANGES:
+        return rows
+    fine = min(RANGES, -(-n // RANGES))  # at most RANGES rows with as many edges, eight megabytes: a broadcast
+    inner = rows.groupBy("part").agg(F.percentile_approx("id", _shares(fine), 10000).alias("edges"))
+    rows = rows.join(F.broadcast(materialize(inner, "range-edges")), "part")
+    return rows.withColumn("part", F.col("part") * (2 * RANGES) + _place(F.col("edges"), F.col("id"), F.col("text"), 1)).drop("edges")
+
+
 def with_next(docs: DataFrame, target: int = 16 << 20) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch): each document and the next by ascending doc_id (after the last: the first).
 
-    Documents are cut into ranges of doc_id of about ``target`` bytes; a document at a range's end gets the first
-    of the next range. Rows that repeat a doc_id follow each other in order of text; null ids come first. One row is its
+    Documents are cut into ranges of doc_id of about ``target`` bytes, a million at most (beyond 16 TB they grow: 100 MB at 100 TB); a document
+    at a range's end gets the first of the next range. Null ids come first. Rows that repeat a doc_id follow each other in order of text; where they
+    fill ranges of their own (a third of all rows without id, say), they are dealt to these by a hash of the text and ordered there. One row is its
     own next; a null text is empty; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    n = min(MOST_RANGES, max(partitions(docs.sparkSession), text_bytes(docs) // target))
-    edges = []
-    if n > 1:
-        found = rows.select(F.percentile_approx("id", [i / n for i in range(1, n)], 10000)).first()[0]
-        edges = sorted(set(found or []))
-    bounds = F.array(*[F.lit(x).cast("long") for x in edges]) if edges else F.array().cast("array<bigint>")
-    rows = rows.withColumn("part", F.size(F.filter(bounds, lambda x: x < F.col("id"))))
-    # the first document of each range: at most MOST_RANGES ids, so a broadcast
+    rows = _in_ranges(rows, min(RANGES * RANGES, max(partitions(docs.sparkSession), text_bytes(docs) // target)))
+    # the first document of each range: a row for each, so a broadcast
     firsts = materialize(rows.groupBy("part").agg(F.min("id").alias("id")), "range-starts")
-    heads = rows.select("id", "text").join(F.broadcast(firsts), "id").groupBy("part").agg(F.min("text").alias("head"))
+    heads = rows.select("part", "id", "text").join(F.broadcast(firsts), ["part", "id"]).groupBy("part").agg(F.min("text").alias("head"))
     turn = Window.orderBy("part")  # a row for each range
     after = firsts.select("part").withColumn("after", F.coalesce(F.lead("part").over(turn), F.first("part").over(turn)))
     after = after.join(heads.withColumnRenamed("part", "after"), "after").select(F.col("part").alias("p"), "head")

@@ -97,3 +97,35 @@ def test_sharding_of_one_key(spark):
 
 def test_sharding_empty(empty):
     assert extendible_shards(empty, 100).collect() == []
+
+
+def test_sharding_deals_a_hot_key_in_slices(spark):
+    """A third of all rows share a key: parts fill in order of size, whatever slices the rows lie in."""
+    rows = spark.createDataFrame([(7, "x" * (1 + i % 30)) for i in range(300)] + [(100 + i, "y" * 10) for i in range(600)], "doc_id long, text string").repartition(5)
+    got = [r for r in extendible_shards(rows, 90).collect() if r["doc_id"] == 7]
+    parts = {}
+    for r in got:
+        parts.setdefault(r["part"], []).append(r["bytes"])
+    assert len(got) == 300 and sorted(parts) == list(range(100)) and all(len(p) == 3 and sum(p) <= 90 for p in parts.values())
+    assert [b for p in sorted(parts) for b in sorted(parts[p], reverse=True)] == sorted((r["bytes"] for r in got), reverse=True)
+
+
+def _next_texts(rows):
+    return sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"], r["next_text"]) for r in rows)
+
+
+def test_next_over_two_levels_of_ranges(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(P, "RANGES", 4)
+    order = sorted((i, t or "") for i, t in texts)
+    want = sorted((True, i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order))
+    assert _next_texts(P.with_next(docs, target=200).collect()) == want
+
+
+def test_next_where_a_third_has_no_id(spark, monkeypatch):
+    """Rows without id fill ranges of their own; each row is the next of exactly one, and ids follow in order."""
+    monkeypatch.setattr(P, "RANGES", 4)
+    rows = [(None, f"n{i % 40}") for i in range(200)] + [(None, None)] * 10 + [(i, f"t{i}") for i in range(300)]
+    got = P.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), target=300).collect()
+    assert sorted(r["next_text"] for r in got) == sorted(t or "" for _, t in rows) == sorted(r["text"] for r in got)
+    assert {r["doc_id"]: r["next_text"] for r in got if r["doc_id"] is not None and r["doc_id"] < 299} == {i: f"t{i + 1}" for i in range(299)}
+    assert sum(r["doc_id"] is None and r["next_text"] == "t0" for r in got) == 1
