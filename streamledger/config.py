@@ -22,9 +22,11 @@ AUTO_MAX, HALF_LIFE_MS, AUTO_FLOOR_MS = 500.0, 30_000.0, 300_000
 AGE_RATE_PER_MS, AGE_CAP_MS = 0.1, 10_000
 FSYNC_BUCKETS_US = (50, 100, 250, 500, 1_000, 5_000, 10_000, 50_000, 100_000)
 SESSION_IDLE_MS = 300_000
+HEARTBEAT_MS = (1_000, 60_000)
+DURABILITY = ("ephemeral", "memory", "disk", "fsync")
 
 TOPIC_DEFAULTS = {
-    "type": "log", "ttl_ms": 0, "cap_records": 0, "cap_bytes": 0, "discard": "old", "durable": False, "priority": None,
+    "type": "log", "ttl_ms": 0, "cap_records": 0, "cap_bytes": 0, "discard": "old", "durable": False, "durability": None, "priority": None,
     "auto_priority": True, "auto_create": True, "idempotency_window_ms": 120_000, "dedupe_node": True, "lease_ms": 30_000,
     "claim_jitter_ms": 0, "max_deliveries": 0, "dead_letter": None, "leases_durable": False,
 }

@@ -24,6 +24,10 @@ def normalize_config(config: dict, existing: dict | None = None) -> dict:
         raise LedgerError("topic_exists_incompatible", "the type of a topic can't change")
     if out["priority"] is not None:
         out["priority"] = max(C.PRIORITY_MIN, min(C.PRIORITY_MAX, out["priority"]))
+    if out["durability"] not in (None, *C.DURABILITY):
+        raise LedgerError("invalid_request", f"durability is one of {', '.join(C.DURABILITY)}")
+    out["durability"] = out["durability"] or ("fsync" if out["durable"] else "disk")  # what is named wins over durable
+    out["durable"] = out["durability"] == "fsync"
     out["lease_ms"] = max(C.LEASE_MS_MIN, min(C.LEASE_MS_MAX, out["lease_ms"]))
     out["claim_jitter_ms"] = min(out["claim_jitter_ms"], C.JITTER_MS_MAX)
     if out["dead_letter"] is not None:

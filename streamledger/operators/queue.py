@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..errors import LedgerError
-from .append import assign_seq
+from .append import assign_seq, idempotent_writes
 from ..functions.exprs import record_bytes
 
 
@@ -20,18 +20,19 @@ def lease_fold(events: DataFrame, now_ms: int) -> DataFrame:
     The last claim counts; it ends with a release or ack of the same lease id, moves with its extensions, and expires when now is past the
     deadline. Deliveries are claims since the last ack. Events of stale leases have no effect.
     """
+    own = ["connection"] if "connection" in events.columns else []
     was = lambda event, c: F.when(F.col("event") == event, F.col(c))
     # one shuffle by seq serves both levels
     each = events.repartition("seq").groupBy("seq", "lease_id").agg(
-        F.max(was("claimed", "pos")).alias("claim_pos"), F.max_by(F.struct("node", "deadline_ms"), was("claimed", "pos")).alias("c"), F.collect_list(was("claimed", "pos")).alias("claims"),
+        F.max(was("claimed", "pos")).alias("claim_pos"), F.max_by(F.struct("node", "deadline_ms", *own), was("claimed", "pos")).alias("c"), F.collect_list(was("claimed", "pos")).alias("claims"),
         F.max(was("acked", "pos")).alias("ack_pos"), F.count(was("released", "pos")).alias("released"), F.count(was("acked", "pos")).alias("acked"),
         F.max_by("deadline_ms", was("extended", "pos")).alias("extended"), F.max(was("released", "ready_at_ms")).alias("ready_at_ms"))
-    last = F.max_by(F.struct("lease_id", "c.node", F.col("c.deadline_ms").alias("until"), "released", "acked", "extended", "ready_at_ms"), "claim_pos").alias("l")
+    last = F.max_by(F.struct("lease_id", "c.node", F.col("c.deadline_ms").alias("until"), *[f"c.{x}" for x in own], "released", "acked", "extended", "ready_at_ms"), "claim_pos").alias("l")
     out = each.groupBy("seq").agg(last, F.max("ack_pos").alias("ack_pos"), F.flatten(F.collect_list("claims")).alias("claims")).where("l IS NOT NULL")
     out = out.select("seq", "l.*", F.expr("CAST(size(filter(claims, p -> p > coalesce(ack_pos, -1))) AS BIGINT)").alias("deliveries"))
     deadline = F.coalesce("extended", "until")
     held = (F.col("released") == 0) & (F.col("acked") == 0) & (F.lit(now_ms) <= deadline)
-    return out.select("seq", "lease_id", "node", deadline.alias("deadline_ms"), held.alias("leased"), (F.col("acked") > 0).alias("acked"), "deliveries", "ready_at_ms")
+    return out.select("seq", "lease_id", "node", deadline.alias("deadline_ms"), held.alias("leased"), (F.col("acked") > 0).alias("acked"), "deliveries", "ready_at_ms", *own)
 
 
 def claimable(queue: DataFrame, leases: DataFrame, now_ms: int) -> DataFrame:
@@ -82,6 +83,25 @@ def cohort(ready: DataFrame, claimers: DataFrame, first_lease: int, now_ms: int)
     return out.select("seq", "node", (F.lit(first_lease - 1) + F.col("slot")).cast("long").alias("lease_id"), (F.lit(now_ms) + lease).cast("long").alias("deadline_ms"))
 
 
+def claim_windows(claims: DataFrame, jitter_ms: int) -> DataFrame:
+    """(topic, pos, at_ms, leader, served_ms): which claims are served in one pass (``claims``: topic, pos in order of arrival, at_ms).
+
+    The first claim leads and waits ``jitter_ms``; those that come before its wait is over join it; the next leads anew. Without a wait each is alone.
+    """
+    wait = max(0, min(jitter_ms, C.JITTER_MS_MAX))
+    if not wait:
+        return claims.select("topic", "pos", "at_ms", F.col("pos").alias("leader"), F.col("at_ms").alias("served_ms"))
+    led = idempotent_writes(claims.select("pos", F.col("topic").alias("idem_key"), F.col("at_ms").alias("ts_ms")), wait - 1)
+    first = led.where("accepted").select(F.col("pos").alias("leader"), (F.col("ts_ms") + wait).alias("served_ms"))
+    return led.select(F.col("idem_key").alias("topic"), "pos", F.col("ts_ms").alias("at_ms"), F.col("original_pos").alias("leader")).join(first, "leader").select("topic", "pos", "at_ms", "leader", "served_ms")
+
+
+def release_connection(leases: DataFrame, connection: str, now_ms: int) -> DataFrame:
+    """Lease events that give back, at once, what a connection that is gone still holds."""
+    held = leases.where(F.col("leased") & (F.col("connection") == connection)).withColumn("done", F.lit(True)).withColumn("held_id", F.col("lease_id"))
+    return _events(held, "released", now_ms, F.lit(None).cast("long"), F.lit(None).cast("long"))
+
+
 def claim(ready: DataFrame, node: str, most: int, lease_ms: int, first_lease: int, now_ms: int) -> DataFrame:
     """One claimer: a cohort of one."""
     one = ready.sparkSession.createDataFrame([(0, node, most, lease_ms)], "ord int, node string, max int, lease_ms long")

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import append as A
+from ..operators import bodies as B
 from ..operators import catalog as K
 from ..operators import delete as D
 from ..operators import queue as Q
 from ..operators import read as R
 from ..operators import retention as T
 from ..operators import router as O
+from ..operators import socket as S
 from ..streaming import live as L
 from ..sources.tables import conversation_logs, events_log, orders_queue, table, user_logs
 
@@ -840,6 +842,91 @@ def diff_page(spark, sf_dir):
     return R.diff_page(events_log(spark, sf_dir, start), start, nodes="u3", tags=True)
 
 
+# --- bodies, frames, sockets -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {EV} SELECT (seq - 1) // 100 AS request, (seq - 1) % 100 AS pos, replace(data, ' ', '') AS data, CASE WHEN seq % 3 <> 0 THEN tag END AS tag, CASE WHEN seq % 4 = 0 THEN 'n' || (seq - 1) // 100 ELSE node END AS node,
+    CASE WHEN seq % 5 = 0 THEN '{{"a":' || seq || '}}' END AS meta, CAST(NULL AS VARCHAR) AS problem FROM ev WHERE (seq - 1) // 100 % 10 <> 7
+    UNION ALL SELECT DISTINCT (seq - 1) // 100, CAST(NULL AS BIGINT), NULL, NULL, NULL, NULL, 'malformed JSON body' FROM ev WHERE (seq - 1) // 100 % 10 = 7""")
+def json_bodies(spark, sf_dir):
+    """Events in bodies of a hundred records; each tenth body is cut short."""
+    s = F.col("seq")
+    rec = F.struct(F.expr("parse_json(data)").alias("data"), F.when(s % 3 != 0, F.col("tag")).alias("tag"), F.when(s % 4 != 0, F.col("node")).alias("node"), F.when(s % 5 == 0, F.struct(s.alias("a"))).alias("meta"))
+    rows = events_log(spark, sf_dir).select(F.expr("(seq - 1) DIV 100").alias("request"), F.struct(s, F.to_json(rec).alias("j")).alias("r"))
+    rows = rows.groupBy("request").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    body = F.concat(F.lit('{"records":['), F.array_join(F.col("r.j"), ","), F.lit('],"node":"n'), F.col("request").cast("string"), F.lit('"}'))
+    return B.parsed(rows.select("request", F.when(F.col("request") % 10 == 7, F.substring(body, 1, 50)).otherwise(body).alias("body")))
+
+
+READERS = "VALUES ('a', 'u1', 0, true, false), ('b', 'u1', 5, true, false), ('c', 'u1', 2, false, true), ('d', 'u2', 0, true, true), ('e', 'u2', 3, false, false)"
+
+
+@query(
+    f"""WITH {EV}, ul AS (SELECT node AS topic, row_number() OVER (PARTITION BY node ORDER BY seq) AS seq, ts_ms, node, tag, data FROM ev),
+    rd(reader, topic, from_seq, d, t) AS ({READERS})
+    SELECT reader, rd.topic, seq, '{{"$seq":' || seq || ',"$ts":' || ts_ms || ',"$node":"' || node || '"' || CASE WHEN t THEN ',"$tag":"' || tag || '"' ELSE '' END || CASE WHEN d THEN ',"data":' || data ELSE '' END || '}}' AS frame
+    FROM rd JOIN ul ON rd.topic = ul.topic AND seq > from_seq"""
+)
+def shared_frames(spark, sf_dir):
+    return B.shared_frames(user_logs(spark, sf_dir), spark.sql(f"SELECT * FROM {READERS} AS t(reader, topic, from_seq, include_data, include_tags)"))
+
+
+SOCKET = f"""{EV}, co AS (SELECT node AS socket, seq AS pos, CASE seq % 7 WHEN 0 THEN 'ping' WHEN 1 THEN 'subscribe' WHEN 2 THEN 'subscribe' WHEN 3 THEN 'unsubscribe' WHEN 6 THEN 'leave' ELSE 'publish' END AS op,
+    CASE WHEN seq % 11 > 0 THEN CASE WHEN seq % 13 = 0 THEN 'x' || seq ELSE tag END END AS topic, seq % 20 AS from_seq, seq % 7 = 2 AS tail, seq % 4 AS records FROM ev),
+  ru AS (SELECT *, sum(CASE WHEN op = 'publish' THEN records ELSE 0 END) OVER (PARTITION BY topic ORDER BY pos) AS upto FROM co),
+  st AS (SELECT *, CAST(upto + CASE WHEN topic IN ('click', 'view') THEN 1000 ELSE 0 END AS BIGINT) AS hd, upto > 0 OR topic IN ('click', 'view') AS there FROM ru),
+  er AS (SELECT *, CASE WHEN op = 'leave' OR (op = 'publish' AND topic IS NULL) THEN 'invalid_json' WHEN (op IN ('subscribe', 'unsubscribe') AND topic IS NULL) OR (op = 'publish' AND records = 0) THEN 'invalid_request'
+    WHEN op = 'subscribe' AND NOT there THEN 'topic_not_found' END AS code FROM st),
+  re AS (SELECT socket, pos, CASE WHEN code IS NOT NULL THEN 'error' WHEN op = 'subscribe' THEN 'subscribed' WHEN op = 'unsubscribe' THEN 'unsubscribed' WHEN op = 'publish' THEN 'ack' ELSE 'pong' END AS reply, topic,
+    CASE WHEN code IS NULL AND op = 'subscribe' THEN CASE WHEN tail THEN hd ELSE from_seq END END AS from_seq, CASE WHEN code IS NULL AND op = 'publish' THEN hd - records + 1 END AS first_seq, CASE WHEN code IS NULL AND op = 'publish' THEN hd END AS last_seq, code FROM er)"""
+
+
+def _replies(spark, sf_dir):
+    s = F.col("seq")
+    op = F.expr("CASE seq % 7 WHEN 0 THEN 'ping' WHEN 1 THEN 'subscribe' WHEN 2 THEN 'subscribe' WHEN 3 THEN 'unsubscribe' WHEN 6 THEN 'leave' ELSE 'publish' END")
+    topic = F.when(s % 11 > 0, F.when(s % 13 == 0, F.concat(F.lit("x"), s.cast("string"))).otherwise(F.col("tag")))
+    commands = events_log(spark, sf_dir).select(F.col("node").alias("socket"), s.alias("pos"), op.alias("op"), topic.alias("topic"), (s % 20).alias("from_seq"), (s % 7 == 2).alias("tail"), (s % 4).alias("records"))
+    return S.replies(commands, spark.sql("SELECT * FROM VALUES ('click', 1000L), ('view', 1000L) AS t(topic, head)"))
+
+
+@query(f"WITH {SOCKET} SELECT * FROM re")
+def socket_replies(spark, sf_dir):
+    """Every event is a command of its user's socket."""
+    return _replies(spark, sf_dir)
+
+
+@query(f"""WITH {SOCKET}, la AS (SELECT *, row_number() OVER (PARTITION BY socket, topic ORDER BY pos DESC) AS n FROM re WHERE reply IN ('subscribed', 'unsubscribed'))
+    SELECT socket, topic, from_seq FROM la WHERE n = 1 AND reply = 'subscribed'""")
+def socket_subscriptions(spark, sf_dir):
+    return S.subscriptions(_replies(spark, sf_dir))
+
+
+@query(f"WITH {EV}, q AS (SELECT node AS socket, ts_ms AS sent_ms, coalesce(lead(ts_ms) OVER (PARTITION BY node ORDER BY ts_ms), {NOW}) - ts_ms AS quiet FROM (SELECT DISTINCT node, ts_ms FROM ev)) SELECT socket, sent_ms, greatest(quiet - 1, 0) // 60000 AS beats FROM q")
+def heartbeats(spark, sf_dir):
+    """A frame for each event; the wait asked for is longer than the longest there is."""
+    return S.heartbeats(events_log(spark, sf_dir).select(F.col("node").alias("socket"), F.col("ts_ms").alias("sent_ms")).distinct(), 90_000, NOW)
+
+
+@query(
+    f"""WITH RECURSIVE {EV}, w AS (SELECT node AS topic, seq AS pos, ts_ms // 10000 AS at_ms FROM ev),
+    s AS (SELECT topic, min(pos) AS leader FROM w GROUP BY topic
+      UNION ALL SELECT s.topic, (SELECT min(n.pos) FROM w n JOIN w o ON o.pos = s.leader WHERE n.topic = s.topic AND n.pos > s.leader AND n.at_ms - o.at_ms >= 5000) FROM s WHERE s.leader IS NOT NULL),
+    a AS (SELECT w.*, max(s.leader) OVER (PARTITION BY w.topic ORDER BY pos) AS leader FROM w LEFT JOIN s ON w.pos = s.leader)
+    SELECT a.topic, a.pos, a.at_ms, a.leader, l.at_ms + 5000 AS served_ms FROM a JOIN w l ON l.pos = a.leader"""
+)
+def claim_windows(spark, sf_dir):
+    """Every event is a claim of its user's queue; the wait asked for is longer than the longest there is."""
+    claims = events_log(spark, sf_dir).select(F.col("node").alias("topic"), F.col("seq").alias("pos"), F.expr("ts_ms DIV 10000").alias("at_ms"))
+    return Q.claim_windows(claims, 9_000)
+
+
+@query(f"WITH {OR}, {LEASES}, {FOLD} SELECT seq, 'released' AS event, node, lease_id, CAST(NULL AS BIGINT) AS deadline_ms, CAST(NULL AS BIGINT) AS ready_at_ms, CAST({AT} AS BIGINT) AS ts_ms FROM ls WHERE leased AND node = 'w1'")
+def release_connection(spark, sf_dir):
+    """Workers have a connection each; one is gone."""
+    events = _lease_events(orders_queue(spark, sf_dir)).withColumn("connection", F.col("node"))
+    return Q.release_connection(Q.lease_fold(events, AT), "w1", AT)
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 

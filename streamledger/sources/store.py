@@ -26,7 +26,7 @@ from ..operators import retention as T
 from ..operators import router as O
 
 RECORDS = "topic string, seq long, ts_ms long, node string, tag string, data string, meta string, bytes long, hops int"
-LEASES = "topic string, pos long, seq long, event string, node string, lease_id long, deadline_ms long, ready_at_ms long, ts_ms long"
+LEASES = "topic string, pos long, seq long, event string, node string, lease_id long, deadline_ms long, ready_at_ms long, ts_ms long, connection string"
 EMPTY = {"version": 0, "logs": {}, "routers": {}, "parts": [], "pos": 0, "next_lease": 1}
 
 
@@ -265,8 +265,31 @@ class LogStore:
         self._topic(m, name)
         return Q.lease_fold(self._read(m, "leases", LEASES, name), now_ms)
 
-    def claim(self, name: str, node: str, most: int, now_ms: int, lease_ms: int | None = None) -> DataFrame:
+    def claim(self, name: str, node: str, most: int, now_ms: int, lease_ms: int | None = None, connection: str | None = None) -> DataFrame:
         """Lease the lowest ready records; those delivered too often go to the dead-letter topic first."""
+        return self._serve(name, [(node, most, lease_ms)], now_ms, connection)
+
+    def claim_gathered(self, name: str, asked: list[tuple]) -> list[DataFrame]:
+        """Serve claims (at_ms, node, most, lease_ms or None) in order of arrival: what comes while the first waits ``claim_jitter_ms`` is one pass that divides the records evenly."""
+        c = self._topic(self.manifest(), name)["config"]
+        out, waiting = [], sorted(asked, key=lambda a: a[0])
+        while waiting:
+            until = waiting[0][0] + c["claim_jitter_ms"]
+            n = max(1, sum(a[0] < until for a in waiting))
+            out.append(self._serve(name, [a[1:] for a in waiting[:n]], until))
+            waiting = waiting[n:]
+        return out
+
+    def push(self, name: str, node: str, connection: str, most: int, now_ms: int, lease_ms: int | None = None) -> DataFrame:
+        """What a connection is to be sent now: as many records as it may hold more. An ack, a nack or an expired lease makes room."""
+        held = self.leases(name, now_ms).where(F.col("leased") & (F.col("connection") == connection)).count()
+        return self.claim(name, node, max(0, most - held), now_ms, lease_ms, connection)
+
+    def disconnect(self, name: str, connection: str, now_ms: int) -> DataFrame:
+        """Give back what a connection holds."""
+        return self._lease_events(self.manifest(), name, Q.release_connection(self.leases(name, now_ms), connection, now_ms))
+
+    def _serve(self, name: str, claimers: list[tuple], now_ms: int, connection: str | None = None) -> DataFrame:
         m = self.manifest()
         c = self._topic(m, name)["config"]
         if c["type"] != "queue":
@@ -285,8 +308,9 @@ class LogStore:
                 self._delete_rows(m, name, dead.select("seq"))
                 m["logs"][name]["dead_lettered"] = m["logs"][name].get("dead_lettered", 0) + n
                 ready = ready.join(dead.select("seq"), "seq", "left_anti")
-        taken = Q.claim(ready, node, most, lease_ms or c["lease_ms"], m["next_lease"], now_ms)
-        events = taken.select("seq", F.lit("claimed").alias("event"), "node", "lease_id", "deadline_ms", F.lit(None).cast("long").alias("ready_at_ms"), F.lit(now_ms).cast("long").alias("ts_ms"))
+        slots = [(i, node, most, lease_ms or c["lease_ms"]) for i, (node, most, lease_ms) in enumerate(claimers)]
+        taken = Q.cohort(ready, self.spark.createDataFrame(slots, "ord int, node string, max int, lease_ms long"), m["next_lease"], now_ms)
+        events = taken.select("seq", F.lit("claimed").alias("event"), "node", "lease_id", "deadline_ms", F.lit(None).cast("long").alias("ready_at_ms"), F.lit(now_ms).cast("long").alias("ts_ms"), F.lit(connection).cast("string").alias("connection"))
         return self._lease_events(m, name, events)
 
     def counters(self, name: str, now_ms: int) -> DataFrame:
@@ -296,7 +320,9 @@ class LogStore:
     def _lease_events(self, m: dict, name: str, events: DataFrame, acked: bool = False) -> DataFrame:
         """Write lease events, with ``acked`` the deletes of their records, and publish them with all that is staged in ``m``."""
         m["pos"] += 1
-        rows = events.select(F.lit(name).alias("topic"), F.lit(m["pos"]).cast("long").alias("pos"), "seq", "event", "node", "lease_id", "deadline_ms", "ready_at_ms", "ts_ms")
+        if "connection" not in events.columns:
+            events = events.withColumn("connection", F.lit(None).cast("string"))
+        rows = events.select(F.lit(name).alias("topic"), F.lit(m["pos"]).cast("long").alias("pos"), "seq", "event", "node", "lease_id", "deadline_ms", "ready_at_ms", "ts_ms", "connection")
         part = self._part("leases", rows, topic=name)
         done = self.spark.read.schema(LEASES).parquet(f"{self.root}/{part['path']}")
         m["next_lease"] = max(m["next_lease"], (done.agg(F.max("lease_id")).first()[0] or 0) + 1)
