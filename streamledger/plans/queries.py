@@ -346,6 +346,11 @@ def _deleted(spark, sf_dir, *rows, log=None):
     return D.live_records(log, spark.createDataFrame(list(rows), D.CONTROL))
 
 
+def _head(log):
+    """The last sequence of a log, 0 of an empty one: what a delete of now is pinned to."""
+    return log.agg(F.max("seq")).first()[0] or 0
+
+
 @query(f"WITH {EV} SELECT seq, tag FROM ev WHERE seq >= 400")
 def delete_before_seq(spark, sf_dir):
     return _deleted(spark, sf_dir, D.delete_row(1, "events", 1_000_000, before_seq=400)).select("seq", "tag")
@@ -380,7 +385,8 @@ def delete_seq_set(spark, sf_dir):
 @query(f"WITH {EV}, a AS (SELECT * FROM ev WHERE NOT (seq < 200 OR tag = 'view')) SELECT 'events' AS topic, (SELECT count(*) FROM ev) - count(*) AS deleted, min(seq) AS earliest_seq, (SELECT max(seq) FROM ev) AS head, count(*) AS count, CAST(sum(bytes) AS BIGINT) AS bytes FROM a")
 def delete_stats(spark, sf_dir):
     log = events_log(spark, sf_dir)
-    after = _deleted(spark, sf_dir, D.delete_row(1, "events", 1_000_000, before_seq=200), D.delete_row(2, "events", 1_000_000, match="view"))
+    head = _head(log)
+    after = _deleted(spark, sf_dir, D.delete_row(1, "events", head, before_seq=200), D.delete_row(2, "events", head, match="view"), log=log)
     return D.delete_stats(log, after)
 
 
