@@ -363,7 +363,9 @@ def delete_tag_eq(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT seq, tag FROM ev WHERE NOT starts_with(tag, 'e') AND NOT starts_with(tag, 'pur')")
 def delete_tag_glob(spark, sf_dir):
-    return _deleted(spark, sf_dir, D.delete_row(1, "events", 1_000_000, match=["tag", "Glob", "e*"]), D.delete_row(2, "events", 1_000_000, match="pur*")).select("seq", "tag")
+    log = events_log(spark, sf_dir)
+    head = _head(log)
+    return _deleted(spark, sf_dir, D.delete_row(1, "events", head, match=["tag", "Glob", "e*"]), D.delete_row(2, "events", head, match="pur*"), log=log).select("seq", "tag")
 
 
 @query(f"WITH {EV} SELECT seq, tag FROM ev WHERE NOT (tag = 'view' AND seq < 500)")
