@@ -358,7 +358,8 @@ def delete_before_seq(spark, sf_dir):
 
 @query(f"WITH {EV} SELECT seq, tag FROM ev WHERE tag <> 'click'")
 def delete_tag_eq(spark, sf_dir):
-    return _deleted(spark, sf_dir, D.delete_row(1, "events", 1_000_000, match="click")).select("seq", "tag")
+    log = events_log(spark, sf_dir)
+    return _deleted(spark, sf_dir, D.delete_row(1, "events", _head(log), match="click"), log=log).select("seq", "tag")
 
 
 @query(f"WITH {EV} SELECT seq, tag FROM ev WHERE NOT starts_with(tag, 'e') AND NOT starts_with(tag, 'pur')")

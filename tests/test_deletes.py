@@ -19,7 +19,7 @@ def long_log(tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["delete_stats", "delete_tag_glob"])
+@pytest.mark.parametrize("name", ["delete_stats", "delete_tag_glob", "delete_tag_eq"])
 def test_deletes_reach_the_head(spark, long_log, name):
     df = QUERIES[name](spark, str(long_log))
     con = duckdb.connect()
