@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import exchange, expand
+from .exchange import distinct, exchange, expand
 from .runtime import materialize, spread
 from .words import mix, shingle_sets, text_buffer
 
@@ -60,8 +60,9 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def finish(table: pa.Table, answers):
         each = sets(table)
-        keys, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_inverse=True)
-        df = answers[0][inverse] if len(keys) else np.zeros(0, np.int64)
+        keys, _, inverse = distinct(list(each))
+        df = answers.pop()[inverse] if len(keys) else np.zeros(0, np.int64)
+        del keys, inverse
         ids, at = table["doc_id"].to_pylist(), 0
         first: dict[bytes, int] = {}
         count: Counter[bytes] = Counter()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -58,10 +59,20 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+@functools.cache
+def _thrifty() -> None:
+    """From now on large arrays of this worker, Arrow's too, are mapped by themselves: they go back to the system as they are freed."""
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        libc = ctypes.CDLL(None)
+        if libc.mallopt(-3, 4 << 20) and libc.mallopt(-1, 16 << 20):  # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD, which glibc else raises to 32 and 64 MB
+            pa.set_memory_pool(pa.system_memory_pool())
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker lives on for later tasks, and its executor pays for what it keeps."""
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+    _thrifty()
+    with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import exchange, expand
+from .exchange import distinct, exchange, expand
 from .words import documents_words, roll, text_buffer, window_index
 
 SCHEMA = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept_text string"
@@ -37,14 +37,16 @@ def _windows(table: pa.Table, k: int):
     order = np.argsort(ids, kind="stable")
     if (order[1:] < order[:-1]).any():
         table, ids = table.take(pa.array(order)), ids[order]
+    table = table.combine_chunks()
     data, offsets = text_buffer(table["text"])
-    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, docs = [], [np.zeros(0, np.int32)]
     for a, b, first, h, *_ in documents_words(data, offsets):
         index, window_offsets = window_index(first, k)
         hashes.append(roll(h, k)[index])
-        docs.append(np.repeat(np.arange(a, b), np.diff(window_offsets)))
-    keys, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    return table, ids, keys, at, inverse, np.concatenate(docs)
+        docs.append(np.repeat(np.arange(a, b, dtype=np.int32), np.diff(window_offsets)))
+    owner = np.concatenate(docs)
+    del docs
+    return table, ids, *distinct(hashes), owner
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 13, row: Column | None = None) -> DataFrame:
@@ -68,10 +70,12 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, row: Column | Non
     def finish(table: pa.Table, answers):
         table, ids, keys, at, inverse, owner = _windows(table, window)
         if len(keys):
-            mine = ids[owner[at]]
-            repeated = (ids[owner] > mine[inverse]) | answers[0].astype(bool)[inverse]
+            rank = np.cumsum(np.diff(ids, prepend=ids[:1]) != 0, dtype=np.int32)  # ids ascend
+            repeated = answers.pop().astype(bool)[inverse]
+            repeated |= rank[owner] > rank[owner[at]][inverse]
         else:
             repeated = np.zeros(0, bool)
+        del keys, at, inverse, owner
         data, offsets = text_buffer(table["text"])
         n, at_window = len(ids), 0
         n_words, n_removed = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -114,7 +118,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 13, row: Column | Non
         span_offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).astype(np.int32)
         text_offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         body = np.concatenate([np.zeros(0, np.uint8), *pieces])
-        text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(text_offsets.tobytes()), pa.py_buffer(body.tobytes())])
+        del pieces
+        text = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(text_offsets), pa.py_buffer(body)])
         columns = [table["doc_id"].combine_chunks(), pa.array(n_words), pa.array(n_removed), pa.ListArray.from_arrays(pa.array(span_offsets), struct), text]
         columns[-1] = text.cast(pa.string())  # raises where a chunk's kept text passes 2 GiB; chunks are cut to about 32 MB
         out = pa.table(dict(zip(["doc_id", "n_words", "n_removed", "spans", "kept_text"], columns, strict=True)))
