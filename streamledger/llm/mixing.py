@@ -17,7 +17,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import local_rows, materialize
 
 MAX_PATTERNS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -138,7 +138,7 @@ def _cuts(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int], list[t
         if not open_:
             break
         shift = 40 - 10 * (level + 1)
-        at = spark.createDataFrame(list(open_.items()), "pattern int, prefix long")
+        at = local_rows(spark, list(open_.items()), "pattern int, prefix long")
         cells = rows.join(F.broadcast(at), "pattern").where(F.shiftright("hash", shift + 10) == F.col("prefix"))
         cells = cells.groupBy("pattern", F.shiftright("hash", shift).alias("cell")).agg(F.sum("size").alias("size"))
         found = defaultdict(list)
@@ -158,8 +158,8 @@ def _cuts(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int], list[t
         gaps = [(p, left[p], cuts[p]) for p in rest if left[p] > 0]
         if not gaps:
             break
-        taken = spark.createDataFrame(picks, "pattern int, hash long")
-        more = rows.join(F.broadcast(spark.createDataFrame(gaps, "pattern int, gap long, cut long")), "pattern").where("hash > cut AND size > 0 AND size <= gap")
+        taken = local_rows(spark, picks, "pattern int, hash long")
+        more = rows.join(F.broadcast(local_rows(spark, gaps, "pattern int, gap long, cut long")), "pattern").where("hash > cut AND size > 0 AND size <= gap")
         more = more.join(taken, ["pattern", "hash"], "left_anti").groupBy("pattern", "hash").agg(F.sum("size").alias("size"), F.first("gap").alias("gap")).where("size <= gap")
         more = more.groupBy("pattern", F.floor(F.log2("size")).alias("class")).agg(F.min(F.struct("hash", "size")).alias("best")).collect()  # a row for each power of two
         for r in sorted(more, key=lambda r: (r["pattern"], -r["class"])):
@@ -196,12 +196,12 @@ def mix(docs: DataFrame, members: Column, targets: dict | None = None, weigh=Non
     whole = {number[p]: gives[p] // n if n else 0 for p, n in patterns.items()}
     rest = {number[p]: gives[p] - whole[number[p]] * n for p, n in patterns.items()}
     spark = docs.sparkSession
-    numbers = spark.createDataFrame([(list(p), i) for p, i in number.items()], "_members array<string>, pattern int")
+    numbers = local_rows(spark, [(list(p), i) for p, i in number.items()], "_members array<string>, pattern int")
     same = F.expr("transform(_members, x -> coalesce(concat('+', x), '-'))")
     tagged = rows.withColumn("_key", same).join(F.broadcast(numbers.withColumn("_key", same).drop("_members")), "_key").drop("_key") if found else rows.withColumn("pattern", F.lit(0))
     cuts, picks = _cuts(tagged.select("pattern", "hash", F.col("_size").alias("size")), rest) if found else ({}, [])
-    plan = spark.createDataFrame([(i, whole[i], cuts.get(i, -1)) for i in whole], "pattern int, whole long, cut long")
-    picked = spark.createDataFrame([(*p, 1) for p in picks], "pattern int, hash long, extra int")
+    plan = local_rows(spark, [(i, whole[i], cuts.get(i, -1)) for i in whole], "pattern int, whole long, cut long")
+    picked = local_rows(spark, [(*p, 1) for p in picks], "pattern int, hash long, extra int")
     out = tagged.join(F.broadcast(plan), "pattern").join(picked, ["pattern", "hash"], "left")
     once_more = (F.col("hash") <= F.col("cut")) | F.col("extra").isNotNull()
     out = out.withColumn("_copies", F.when(F.col("_size") == 0, 0).otherwise(F.col("whole") + once_more.cast("long")))
@@ -218,6 +218,6 @@ def op5_source_mix(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to the contract's targets."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out, plan = mix(docs, F.array("source"), weigh=cycle_weights, max_repeats=2, keep=("doc_id",))
-    facts = spark.createDataFrame([(s, int(plan["sizes"][s]), float(plan["targets"][s])) for s in plan["sizes"]], "source string, source_size long, target double")
+    facts = local_rows(spark, [(s, int(plan["sizes"][s]), float(plan["targets"][s])) for s in plan["sizes"]], "source string, source_size long, target double")
     out = out.withColumn("source", F.col("_members")[0])
     return out.join(F.broadcast(facts), out.source.eqNullSafe(facts.source)).select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).alias("taken"))

@@ -23,6 +23,7 @@ from .tokens import tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PARTITION, LEAST = 40_000, 2_000  # pieces that one task packs: at most, and at least while there are enough
+SLICE = 1 << 18  # characters that a worker cuts and encodes at a time; a longer text by itself
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -81,7 +82,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
             a = 0
             while a < len(texts):
                 b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= 1 << 20):
+                while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE):
                     size += len(texts[b])
                     b += 1
                 ids, offsets = t.batch(texts[a:b])

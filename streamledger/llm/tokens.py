@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from .words import mix
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-CACHE = 400_000
+CACHE = 200_000
 _loaded: dict[str, BulkTokenizer] = {}
 
 

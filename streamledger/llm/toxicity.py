@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, partitions, small_batches
+from .runtime import local_rows, materialize, partitions, small_batches
 
 MAX_TOXIC, MAX_CLEAN = 6000, 12000
 SUPPORT = 2  # distinct toxic texts a term needs
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     if not sample:
         return Lexicon({}, list(exceptions))
     spark = small_batches(docs).sparkSession
-    ids = F.broadcast(spark.createDataFrame(sample, "doc_id long, toxic int"))
+    ids = F.broadcast(local_rows(spark, sample, "doc_id long, toxic int"))
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").repartition(partitions(spark)), "toxic-sample")
     # distinct min-hashes of each term by label and half; those of the null term are the numbers of texts
     seen = rows.mapInArrow(_counts, "sig long, toxic int, term string").repartition("term").groupBy("term", "sig", "toxic").agg(F.lit(1).alias("one"))
